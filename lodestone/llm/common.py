@@ -62,15 +62,15 @@ def partitions(spark: SparkSession) -> int:
 
 
 def chunk_edges(df: DataFrame, key: str, rows: int = 50_000, least: int = 1) -> list[int]:
-    """Ascending cut points of an integer column that give chunks of about `rows` rows; at most 4,096 of them.
+    """Ascending cut points of an integer column that give chunks of about `rows` rows; at most 65,536 of them.
 
     The cuts are literals from then on, so a retried task puts each row into the same chunk.
     """
     n = df.count()
-    parts = max(least, min(4096, -(-n // rows)))
+    parts = max(least, min(65_536, -(-n // rows)))
     if n == 0 or parts == 1:
         return []
-    found = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 20_000).alias("p")).first()["p"]
+    found = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 100_000).alias("p")).first()["p"]
     return sorted({int(x) for x in found or [] if x is not None})
 
 
@@ -78,7 +78,7 @@ def chunk_of(key: str, edges: list[int]):
     """The chunk number of an integer column: how many cut points it exceeds (null: chunk 0)."""
     if not edges:
         return F.lit(0)
-    array = F.array(*[F.lit(x).cast("long") for x in edges])
+    array = F.split(F.lit(",".join(map(str, edges))), ",").cast("array<bigint>")  # folds to one literal
     low = F.aggregate(
         F.sequence(F.lit(0), F.lit(max(1, len(edges)).bit_length() - 1)),
         F.struct(F.lit(0).alias("lo"), F.lit(len(edges)).alias("hi")),

@@ -6,8 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tiff, token_counts
-from .common import table
+from . import id_files, tiff, token_counts
+from .common import scratch, table
+
+
+def op2_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts encoded, written as Huffman-coded files and read back."""
+    path = scratch(spark, "id_files")
+    id_files.write_ids(table(spark, sf_dir, "documents"), path, "word_bpe_49k.json", 2)
+    return id_files.read_ids(spark, path, with_ids=False)
 
 
 def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +28,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_id_files": op2_id_files,
     "op8_tiff": op8_tiff,
     "op9_token_counts": op9_token_counts,
 }
