@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import id_files, tiff, token_counts
+from . import id_files, mixing, sharding, tiff, token_counts
 from .common import scratch, table
 
 
@@ -17,6 +17,16 @@ def op2_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.read_ids(spark, path, with_ids=False)
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into 40 shards of near equal bytes, equal texts together."""
+    return sharding.shard(table(spark, sf_dir, "documents"), 40)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix by source weights 5, 2, 1 takes of each document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts stored as TIFF pages and read back from the stored bytes."""
     return tiff.media_digest(tiff.texts_to_tiff(table(spark, sf_dir, "documents")))
@@ -29,6 +39,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_id_files": op2_id_files,
+    "op4_sharding": op4_sharding,
+    "op5_mixing": op5_mixing,
     "op8_tiff": op8_tiff,
     "op9_token_counts": op9_token_counts,
 }
