@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import id_files, mixing, sharding, tiff, token_counts
+from . import id_files, jaccard_join, mixing, sharding, tiff, token_counts
 from .common import scratch, table
 
 
@@ -17,6 +17,11 @@ def op2_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.read_ids(spark, path, with_ids=False)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles overlap by 85 % of their union."""
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), 4, 85)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into 40 shards of near equal bytes, equal texts together."""
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
@@ -39,6 +44,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_id_files": op2_id_files,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
     "op8_tiff": op8_tiff,
