@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import id_files, jaccard_join, mixing, sharding, tiff, token_counts
+from . import id_files, jaccard_join, mixing, quality, sharding, tiff, token_counts
 from .common import scratch, table
 
 
@@ -32,6 +32,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of whole texts."""
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts stored as TIFF pages and read back from the stored bytes."""
     return tiff.media_digest(tiff.texts_to_tiff(table(spark, sf_dir, "documents")))
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
+    "op7_quality": op7_quality,
     "op8_tiff": op8_tiff,
     "op9_token_counts": op9_token_counts,
 }
