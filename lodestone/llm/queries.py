@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import id_files, jaccard_join, mixing, quality, sharding, tiff, token_counts
+from . import decontamination, id_files, jaccard_join, mixing, quality, sharding, tiff, token_counts
 from .common import scratch, table
 
 
@@ -47,6 +47,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 512)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, be its numbers, names and units as they were or others."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_id_files": op2_id_files,
     "op3_jaccard_join": op3_jaccard_join,
@@ -55,4 +60,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_tiff": op8_tiff,
     "op9_token_counts": op9_token_counts,
+    "op10_decontamination": op10_decontamination,
 }
