@@ -4,12 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, id_files, jaccard_join, mixing, quality, sharding, tiff, token_counts
+from . import decontamination, id_files, jaccard_join, mixing, pii, quality, sharding, tiff, token_counts
 from .common import scratch, table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in whole texts."""
+    spans = pii.detect(table(spark, sf_dir, "documents"))
+    every = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(F.array_position(F.array(*map(F.lit, pii.KINDS)), s["kind"]).alias("order"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    return spans.select("doc_id", *map(_n_of, pii.KINDS), F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(every).alias("spans"))
+
+
+def _n_of(kind: str) -> Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def op2_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts encoded, written as Huffman-coded files and read back."""
     path = scratch(spark, "id_files")
@@ -53,6 +65,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_id_files": op2_id_files,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_sharding": op4_sharding,
