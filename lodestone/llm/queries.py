@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, id_files, jaccard_join, mixing, pii, quality, sharding, tiff, token_counts
+from . import decontamination, html_wrappers, id_files, jaccard_join, mixing, pii, quality, sharding, tiff, token_counts
 from .common import scratch, table
 
 
@@ -44,6 +44,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page."""
+    return html_wrappers.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of whole texts."""
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
+    "op6_html_wrappers": op6_html_wrappers,
     "op7_quality": op7_quality,
     "op8_tiff": op8_tiff,
     "op9_token_counts": op9_token_counts,
