@@ -141,3 +141,9 @@ def _slots(docs: DataFrame, benchmark: DataFrame, hits: DataFrame, found: DataFr
     met = places.join(theirs, places["key"].eqNullSafe(theirs["slot_key"]) & (F.col("place") + F.col("shift") == F.col("slot_at")) & (F.col("kind") == F.col("their_kind")))
     values = met.groupBy("key", "item_id", "shift", "kind", "own").agg(F.count_distinct("value").alias("different"))
     return values.groupBy(F.col("key").alias("slot_key"), F.col("item_id").alias("slot_item")).agg(F.count("*").alias("n_slots"), F.count_if(F.col("different") == 1).alias("consistent_slots"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of `docs`, all columns, in which no benchmark item is found."""
+    gone = materialize(contaminated(docs, benchmark, id_col, **options).select(F.col(id_col)).distinct(), "contaminated")
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)

@@ -223,3 +223,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     named = rep.join(least, "comp").select("k", "component_id")
     return keys.join(named, "k", "left").select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, without those that reach a smaller id by links.
+
+    Of each group the document of the smallest id stays; rows without an id, and texts without words, stay. Rows of one id stay
+    or go together, and of equal rows of one id one stays.
+    """
+    found = materialize(jaccard_components(docs, n, percent, id_col, text_col), "components")
+    gone = materialize(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone")
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    if found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count():
+        one = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col])
+        kept = one.unionByName(kept.where(F.col(id_col).isNull()))
+    return kept

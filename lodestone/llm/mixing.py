@@ -172,3 +172,23 @@ def mix(
     chosen = placed.join(table, F.col(source_col).eqNullSafe(F.col("quota_source"))).withColumn("picked_at", picked_blocks(block, shards))
     extra = F.aggregate("picked_at", F.lit(0).cast("long"), lambda s, b: s + block_words(b, F.col("at"), F.col("size"), block))
     return chosen.select(id_col, source_col, "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).alias("taken"), "whole", "at", "picked_at", "tie")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", block: int = 1024, **options) -> DataFrame:
+    """The mix itself, with the columns of `docs`: every row as often as it is taken whole, and once more the words of its picked blocks.
+
+    Words of a part are joined by single spaces. A row of which nothing is taken goes; rows without words go, as they add nothing
+    to any source. Rows alike in id and text are taken alike. `chars_col`, where the table has it, counts the text given out.
+    """
+    taken = mix(docs, id_col, text_col, source_col, block=block, **options)
+    taken = taken.groupBy(F.col(id_col).alias("mix_id"), F.col("tie").alias("mix_tie")).agg(F.min_by(F.struct("whole", "at", "size", "picked_at"), "at").alias("mix_taken"))
+    tied = docs.withColumn("mix_own", F.xxhash64(text_col))
+    rows = tied.join(taken, tied[id_col].eqNullSafe(F.col("mix_id")) & (F.col("mix_own") == F.col("mix_tie")))
+    t = F.col("mix_taken")
+    words = F.filter(F.split(F.col(text_col), r"[ \x09-\x0D]+"), lambda w: w != "")
+    parts = F.transform(t["picked_at"], lambda b: F.slice(words, (F.greatest(b * block - t["at"], F.lit(0).cast("long")) + 1).cast("int"), block_words(b, t["at"], t["size"], block).cast("int")))
+    part = F.when(F.size(t["picked_at"]) > 0, F.array(F.array_join(F.flatten(parts), " "))).otherwise(F.array().cast("array<string>"))
+    every = F.concat(F.when(t["size"] > 0, F.array_repeat(F.col(text_col), t["whole"])).otherwise(F.array().cast("array<string>")), part)
+    given = rows.withColumn("mix_text", F.explode(every))
+    columns = {text_col: F.col("mix_text")} | ({chars_col: F.length("mix_text").cast(docs.schema[chars_col].dataType)} if chars_col in docs.columns else {})
+    return given.select(*[columns[c].alias(c) if c in columns else tied[c] for c in docs.columns])

@@ -206,6 +206,27 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, id_col: str, te
     return Network(features[order], found["label"].to_numpy()[order], found["fold"].to_numpy()[order] == 1)
 
 
+def trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> tuple[np.ndarray, Network]:
+    vectors = word_vectors(docs, text_col)
+    return vectors, fit(docs, labels, vectors, id_col, text_col, label_col, most)
+
+
+def keep_good(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, most_labelled: int = MOST_LABELLED,
+) -> DataFrame:
+    """The rows of `docs`, all columns, whose score() reaches the threshold; rows pass by without a join."""
+    vectors, network = trained(docs, labels, id_col, text_col, label_col, most_labelled)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                yield part.filter(pa.array(network(pooled(texts_of(part, place), vectors)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, most_labelled: int = MOST_LABELLED,
 ) -> DataFrame:
@@ -216,8 +237,7 @@ def score(
     ignored; an id with several labels counts once, with the greatest. Without labels all scores come from the
     untrained network. An empty table gives no rows; further columns aren't read.
     """
-    vectors = word_vectors(docs, text_col)
-    network = fit(docs, labels, vectors, id_col, text_col, label_col, most_labelled)
+    vectors, network = trained(docs, labels, id_col, text_col, label_col, most_labelled)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
