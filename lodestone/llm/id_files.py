@@ -14,10 +14,13 @@ as a binary column of Parquet, so that a lost task's frames are never half there
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -160,36 +163,75 @@ def read_frame(frame: bytes, book: bytes) -> tuple[list[int | None], np.ndarray,
 # --- tokens -------------------------------------------------------------------------------------------
 
 
+#: Byte-level models write each byte as a letter: printable Latin-1 as itself, the other bytes from U+0100 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 class WordEncoder:
-    """Encodes whole texts by the library, each distinct space-delimited word once per `room` words.
+    """Encodes whole texts by the library, each distinct word once until `room` words are known.
 
-    Valid for tokenizers whose normalizer and pre-tokenizer never look across a space; `probe` checks that on
-    strings where others differ, and if it fails whole texts are encoded. Only U+0020 and line feeds delimit
-    words, so that any other white space stays inside a word and is left to the library.
+    Valid for tokenizers whose normalizer and pre-tokenizer never look across a space, ignore spaces, fold A-Z and
+    end a run of letters at punctuation; `probe` checks that on strings where others differ, and if it fails
+    whole texts are encoded. Words end at spaces, at line feeds and between an ASCII letter and one of
+    PUNCTUATION (no apostrophe: contractions); other white space stays inside a word and is left to the library.
     """
 
-    PROBE = ("a b", " a  b\nc ", "don't 's 12 3,4 !? é́ ́x <|endoftext|> y", "A\tB ÅÇ  z q")
+    PROBE = ("a b", " a  b\nc ", "don't 's 12 3,4 !? é́ ́x <|endoftext|> y", "A\tB ÅÇ  z q", "THAT*** this,, (x) a.b,c!! ΑΣ Σ, İ, x<|endoftext|>", "re|x a|b |. 'd,'s it's, x'll", "ﬁ, Å, q%%% $$", "straße écoute ñandú þorn ÿ ŵ αβγ ω жук ÀÉÎ ǆ ǅ ª º µ 中文")
+    PUNCTUATION = re.compile(r"(?<=[a-z])(?=[,.!?;:|*#$%&\")])")
+    FOLD = {c: c + 32 for c in range(65, 91)}
 
     def __init__(self, tokenizer, dtype: str, room: int = 400_000):
         self.tokenizer, self.dtype, self.room, self.known = tokenizer, dtype, room, {"": b""}
-        self.by_word = all(self.encode(x) == self.direct([x])[0] for x in self.PROBE)
+        self.code = "H" if np.dtype(dtype).itemsize == 2 else "I"
+        self.by_word = self.by_model = True
+        probe = list(self.PROBE)
+        if self.encode(probe) != self.direct(probe):  # the model alone won't do
+            self.by_model, self.known = False, {"": b""}
+            self.by_word = self.encode(probe) == self.direct(probe)
+        self.known = {"": b""}
 
     def direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype=self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        new = list(set(words).difference(self.known))
-        if new:
-            if len(self.known) + len(new) > self.room:
-                self.known = {"": b""}
-                new = [x for x in set(words) if x]
-            for k in range(0, len(new), 20_000):
-                self.known.update(zip(new[k : k + 20_000], self.direct(new[k : k + 20_000]), strict=True))
-        return b"".join(map(self.known.__getitem__, words))
-
-    def __call__(self, text: str) -> bytes:
-        return self.encode(text) if self.by_word else self.direct([text])[0]
+        return [array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def single(self, words: list[str]) -> None:
+        """Learns words. Small letters in composed form are the model's input as they are, byte by byte; the rest goes through all steps."""
+        other, tokenize, known, code = [], self.tokenizer.model.tokenize, self.known, self.code
+        for w in words:
+            if w.isalpha() and self.by_model:
+                if w.isascii() and w.islower():
+                    known[w] = array(code, [t.id for t in tokenize(w)]).tobytes()
+                    continue
+                if w == w.lower() and is_normalized("NFC", w):
+                    known[w] = array(code, [t.id for t in tokenize(w.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
+                    continue
+            other.append(w)
+        for k in range(0, len(other), 5_000):
+            known.update(zip(other[k : k + 5_000], self.direct(other[k : k + 5_000]), strict=True))
+
+    def words(self, text: str) -> list[str]:
+        text = text.replace("\n", " ")
+        if "<" not in text:  # special strings are told apart by case
+            try:
+                text.encode("latin-1")
+                text = text.lower()  # letter by letter, as the library does it
+            except UnicodeEncodeError:
+                text = text.translate(self.FOLD)
+            text = self.PUNCTUATION.sub(" ", text)
+        return text.split(" ")
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [self.words(t) for t in texts]
+        every = set().union(*split)
+        new = list(every.difference(self.known))
+        if len(self.known) + len(new) > self.room:
+            self.known = {"": b""}
+            new = [x for x in every if x]
+        self.single(new)
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        return self.encode(texts) if self.by_word else self.direct(texts)
 
 
 @lru_cache(maxsize=2)
@@ -199,7 +241,7 @@ def word_encoder(path: str, dtype: str) -> WordEncoder:
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, dtype: str, id_col: str, text_col: str) -> DataFrame:
     """(chunk, doc_id, rel, n, ids): tokens of each document with the end id, in ascending doc_id order within each chunk; rel counts the chunk's ids before it."""
-    edges = chunk_edges(docs.select(id_col), id_col, 4_000)
+    edges = chunk_edges(docs.select(id_col), id_col, 1_000)
     size = np.dtype(dtype).itemsize
     end = np.array([end_id], dtype=dtype).tobytes()
 
@@ -207,13 +249,13 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, dtype: str, id_c
         encode, chunk, rel = word_encoder(tokenizer_path, dtype), None, 0
         names = ["chunk", "doc_id", "rel", "n", "ids"]
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
                 own, rels, counts, ids = part.column(0).to_pylist(), [], [], []
-                for c, text in zip(own, part.column(2).to_pylist(), strict=True):
+                for c, found in zip(own, encode([x or "" for x in part.column(2).to_pylist()]), strict=True):
                     if c != chunk:
                         chunk, rel = c, 0
-                    found = encode(text or "") + end
+                    found += end
                     ids.append(found)
                     counts.append(len(found) // size)
                     rels.append(rel)
@@ -221,7 +263,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, dtype: str, id_c
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rels, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names)
 
     rows = docs.select(chunk_of(id_col, edges).cast("int").alias("chunk"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartition(len(edges) + 1, "chunk").sortWithinPartitions("chunk", "doc_id", F.xxhash64("text"))
+    rows = rows.repartition("chunk").sortWithinPartitions("chunk", "doc_id", F.xxhash64("text"))
     return rows.mapInArrow(run, "chunk int, doc_id long, rel long, n long, ids binary")
 
 
