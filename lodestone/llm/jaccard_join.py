@@ -3,9 +3,11 @@
 Equal sets count as one set, so copies are never paired. Every set gives its signatures; a group is the sets of one
 signature. Within a group, parity sketches rule out what can't be similar (never what is); of the rest each
 set names its nearest few in other components, these pairs are verified on the whole sets, and verified
-links join components. Rounds go on until no group holds an unverified possible pair between two
-components, so the components are exact while a group of n similar sets costs about n pairs, not n * n. A round names
-more of the nearest than the one before, so that a large group of sets just below the threshold ends too.
+links join components. The first rounds look at each set's first few groups in an order of hashes, where similar
+sets meet for the most part; later ones at all groups that two components still share. Rounds go on until no group
+holds an unverified possible pair between two components, so the components are exact while a group of n similar
+sets costs about n pairs, not n * n. A round names more of the nearest than the one before, so that a large
+group of sets just below the threshold ends too.
 
 Groups of more than BLOCK sets are compared block against block in different tasks.
 """
@@ -24,8 +26,9 @@ from .partenum import fold, possible, signatures, sketch, sketch_words
 from .textops import U64, mix, shingles
 
 BLOCK = 1024
-FIRST_NEAREST = 2
-SLICE = 512
+#: (groups of each set, nearest partners of each set) of the first rounds; from then on all groups and twice the partners.
+ROUNDS = ((4, 1), (8, 2), (None, 4))
+SLICE = 256
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
@@ -75,11 +78,11 @@ def signature_rows(docs: DataFrame, n: int, percent: int, text_col: str) -> Data
 
 
 def shared_signatures(rows: DataFrame) -> DataFrame:
-    """(sig, k, members) of the signatures that two different sets or more have."""
+    """(sig, k, members, rank) of the signatures that two different sets or more have; rank counts a set's signatures in an order of hashes."""
     own, ordered = Window.partitionBy("sig"), Window.partitionBy("sig").orderBy("k")
     rows = rows.withColumn("before", F.lag("k").over(ordered)).withColumn("low", F.min("k").over(own)).withColumn("high", F.max("k").over(own))
     rows = rows.where("low < high AND (before IS NULL OR before <> k)").select("sig", "k")
-    return rows.withColumn("members", F.count("*").over(own))
+    return rows.withColumn("members", F.count("*").over(own)).withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("sig"))))
 
 
 def sets_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -100,7 +103,7 @@ def sets_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def _nearest(keys: np.ndarray, comps: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, pair: tuple[int, int], sketches: list, tried: list, percent: int, nearest: int, out: set) -> None:
-    """Adds to `out` each set's nearest possible partners of other components (of the other block, where there are two)."""
+    """Adds to `out` (set, partner, bits) for each set's nearest possible partners of other components (of the other block, where there are two)."""
     rows = fold(sketches)
     failed = {int(k): set(t) for k, t in zip(keys, tried, strict=True) if t}
     for i in range(len(keys)):
@@ -115,14 +118,14 @@ def _nearest(keys: np.ndarray, comps: np.ndarray, sizes: np.ndarray, blocks: np.
         for j in found[np.lexsort((keys[found], bits[found]))]:
             if int(keys[j]) in failed.get(int(keys[i]), ()):
                 continue
-            out.add((int(min(keys[i], keys[j])), int(max(keys[i], keys[j]))))
+            out.add((int(keys[i]), int(keys[j]), int(bits[j])))
             left -= 1
             if not left:
                 break
 
 
 def candidate_pairs(members: DataFrame, percent: int, nearest: int) -> DataFrame:
-    """(a, b) pairs to verify next, from (sig, k, members, n, sketch, comp, tried)."""
+    """(a, b) pairs to verify next, each set's `nearest`, from (sig, k, members, n, sketch, comp, tried)."""
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("k"), blocks).cast("int")
     members = members.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -140,9 +143,9 @@ def candidate_pairs(members: DataFrame, percent: int, nearest: int) -> DataFrame
             held.clear()
 
         def emit() -> pa.RecordBatch:
-            a, b = zip(*sorted(out), strict=True)
+            columns = [pa.array(c, pa.int64()) for c in zip(*sorted(out), strict=True)]
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            return pa.RecordBatch.from_arrays(columns, ["k", "other", "bits"])
 
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
@@ -156,7 +159,9 @@ def candidate_pairs(members: DataFrame, percent: int, nearest: int) -> DataFrame
         if out:
             yield emit()
 
-    return members.mapInArrow(run, "a long, b long").distinct()
+    named = members.mapInArrow(run, "k long, other long, bits long").distinct()
+    named = named.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("bits", "other"))).where(F.col("place") <= nearest)
+    return named.select(F.least("k", "other").alias("a"), F.greatest("k", "other").alias("b")).distinct()
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -197,10 +202,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     shared = materialize(shared_signatures(signature_rows(docs, n, percent, "text")), "shared")
     wanted = reps.join(shared.select("k").distinct(), "k").select("k", F.col("rep").alias("doc_id"))
     sets = materialize(sets_of(docs.join(wanted, "doc_id").select("k", "text"), n, percent), "sets", "uncompressed")
-    tried, comps, nearest = None, None, FIRST_NEAREST
-    members = shared.join(sets.select("k", "n", "sketch"), "k")
+    tried, comps, rounds = None, None, list(ROUNDS)
     while True:
-        active = members
+        groups, nearest = rounds.pop(0)
+        active = shared if groups is None else shared.where(F.col("rank") <= groups)
         if comps is None:
             active = active.withColumn("comp", F.col("k")).withColumn("tried", F.lit(None).cast("array<bigint>"))
         else:
@@ -209,13 +214,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
             failed = tried.where("NOT ok").select("a", "b")
             failed = failed.union(failed.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("k")).agg(F.collect_list("b").alias("tried"))
             active = active.join(open_groups, "sig", "left_semi").join(failed, "k", "left")
+        active = active.join(sets.select("k", "n", "sketch"), "k")
         checked = materialize(verify(candidate_pairs(active, percent, nearest), sets, percent), "checked")
         if not checked.limit(1).count():
-            break
+            if groups is None:
+                break
+            continue
         tried = checked if tried is None else tried.union(checked)
         if comps is None or checked.where("ok").limit(1).count():
             comps = components(tried.where("ok").select("a", "b"))
-        nearest *= 4
+        if not rounds:
+            rounds.append((None, 2 * nearest))
     rep = reps.select("k", "rep").withColumn("comp", F.col("k"))
     if comps is not None:
         rep = rep.drop("comp").join(comps.select(F.col("id").alias("k"), F.col("component_id").alias("comp")), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
@@ -224,6 +233,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     return keys.join(named, "k", "left").select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, without those that reach a smaller id by links.
 

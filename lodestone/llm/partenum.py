@@ -81,11 +81,11 @@ def signatures(elements: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[n
 
 
 def sketch_words(percent: int, sizes: np.ndarray) -> np.ndarray:
-    """64-bit words of a set's parity sketch: a power of two, about eight bits for each possible difference in the next band."""
+    """64-bit words of a set's parity sketch: a power of two, about sixteen bits for each possible difference in the next band."""
     low = bands(percent, 1 << int(max(1, sizes.max(initial=1))).bit_length())
     own = np.maximum(np.searchsorted(low, sizes, side="right") - 1, 0)
     k = most_differences(percent, 2 * (low[own + 2] - 1))
-    return (1 << np.ceil(np.log2(np.maximum(8 * k, 64) / 64)).astype(np.int64)).astype(np.int64)
+    return (1 << np.ceil(np.log2(np.maximum(16 * k, 64) / 64)).astype(np.int64)).astype(np.int64)
 
 
 def sketch(elements: np.ndarray, words: int) -> np.ndarray:

@@ -18,7 +18,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Texts above this many bytes are hashed in pieces cut at white space.
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
