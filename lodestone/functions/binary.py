@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def le_uint(content: Column | str, offset: int, size: int) -> Column:
     """Unsigned little-endian integer of `size` bytes (1 to 7) at a byte offset; null where the bytes end before."""
     content = F.col(content) if isinstance(content, str) else content
-    own = F.substring(content, offset + 1, size)
-    return F.when(F.octet_length(own) == size, F.conv(F.hex(F.reverse(own)), 16, 10).cast("long"))
+    digits = F.concat(*[F.hex(F.substring(content, offset + 1 + i, 1)) for i in reversed(range(size))])
+    return F.when(F.octet_length(content) >= offset + size, F.conv(digits, 16, 10).cast("long"))
 
 
 def be_uint(content: Column | str, offset: int, size: int) -> Column:
