@@ -4,8 +4,9 @@ A page is a stream of blocks, each with the path of its open elements and a text
 into a repeated slot, and sequences that recur fold into a repeated group. Streams of one host are aligned one after the
 other: what matches stays, a path that only one side has becomes optional, repetition counts widen, and a text that
 differs becomes a slot while one that never differs stays template. The result is a regular expression without unions,
-`item | item? | item+ | (group)+`. Its slots say in which container the host's pages vary, so where the article is; template text
-outside of it is dropped. Wrappers are merged from partial ones, so a host of any size is no single task's.
+`item | item? | item+ | (group)+`. Its slots say in which container the host's pages vary, so where the article is. Every
+page is aligned with its host's wrapper again, and each block is weighed: slot or template at its place, inside or outside the container, and marks,
+elements and class words as evidence beside it. Wrappers are merged from partial ones, so a host of any size is no single task's.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import zlib
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -45,6 +47,10 @@ TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 MOST_GROUP = 6
+# Elements that hold text of an article themselves, rather than a part of the page.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption hr address details summary".split())
+#: A text of as many different pages or more, alike on all of them, is template.
+LEAST_PAGES = 3
 
 
 def words_of(attrs: str) -> tuple[str, frozenset]:
@@ -63,28 +69,58 @@ def words_of(attrs: str) -> tuple[str, frozenset]:
     return first, frozenset(found)
 
 
-def blocks_of(page: str) -> list[tuple[str, bool, bool, str]]:
-    """(path, boilerplate, in article, text) of every block in page order."""
-    out: list[tuple[str, bool, bool, str]] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # name, path, boilerplate, in article
+class Block(NamedTuple):
+    """A text with the path of its open elements; depths count the elements of the path down to the one that gives evidence, 0 for none."""
+
+    path: str
+    element: int  # the outermost boilerplate element
+    box: int  # the innermost part of the page with a boilerplate word
+    word: bool  # the text's own element has a boilerplate word
+    mark: int  # the innermost element that is marked as article
+    links: bool  # all of the text is links
+    text: str
+
+
+class Open(NamedTuple):
+    name: str
+    path: str
+    depth: int
+    element: int
+    box: int
+    word: bool
+    mark: int
+
+
+TOP = Open("", "", 0, 0, 0, False, 0)
+
+
+def blocks_of(page: str) -> list[Block]:
+    """Every block in page order."""
+    out: list[Block] = []
+    stack: list[Open] = []
     text: list[str] = []
+    plain = False  # some of the text isn't a link
+
+    def add(piece: str) -> None:
+        nonlocal plain
+        text.append(piece)
+        plain = plain or not any(s.name == "a" for s in reversed(stack)) and not piece.isspace()
 
     def flush() -> None:
+        nonlocal plain
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                for _name, path, boiler, article in reversed(stack):
-                    if _name not in INLINE:
-                        break
-                else:
-                    path, boiler, article = "", False, False
-                out.append((path, boiler or any(s[2] for s in stack), article, whole))
+                own = next((s for s in reversed(stack) if s.name not in INLINE), TOP)
+                top = stack[-1] if stack else TOP
+                out.append(Block(own.path, top.element, top.box, top.word, own.mark, not plain, whole))
             text.clear()
+        plain = False
 
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            text.append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
         name = m["name"]
         if name is None:
@@ -96,8 +132,8 @@ def blocks_of(page: str) -> list[tuple[str, bool, bool, str]]:
             flush()
         if m["close"]:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if name not in INLINE or all(s[0] in INLINE for s in stack[i:]):
+                if stack[i].name == name:
+                    if name not in INLINE or all(s.name in INLINE for s in stack[i:]):
                         del stack[i:]
                     break
             continue
@@ -107,44 +143,49 @@ def blocks_of(page: str) -> list[tuple[str, bool, bool, str]]:
             continue
         if name not in INLINE:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
+                if stack[i].name == "p":
                     del stack[i:]
                     break
-                if stack[i][0] not in INLINE:
+                if stack[i].name not in INLINE:
                     break
         for i in range(len(stack) - 1, -1, -1) if name in CLOSES else ():
-            if stack[i][0] in SCOPE[name]:
+            if stack[i].name in SCOPE[name]:
                 break
-            if stack[i][0] in CLOSES[name]:
+            if stack[i].name in CLOSES[name]:
                 del stack[i:]
-        up = stack[-1] if stack else ("", "", False, False)
+        up = stack[-1] if stack else TOP
         first, found = words_of(m["attrs"]) if m["attrs"] else ("", frozenset())
         if name == "html" or name == "body":
             found = frozenset()
-        article = up[3] or name in ARTICLE or bool(found & ARTICLE_WORDS)
-        boiler = up[2] or name in BOILER or bool(found & BOILER_WORDS) or (not article and (name == "header" or bool(found & HEAD_WORDS)))
-        path = up[1] if name in INLINE else f"{up[1]}/{name}" + (f".{first}" if first else "")
-        stack.append((name, path, boiler, article))
-    text.append(page[at:])
+        depth = up.depth + (name not in INLINE)
+        mark = depth if name in ARTICLE or found & ARTICLE_WORDS else up.mark
+        element = up.element or (depth if name in BOILER or not mark and (name == "header" or found & HEAD_WORDS) else 0)
+        word = bool(found & BOILER_WORDS)
+        box = depth if word and name not in TEXT and name not in INLINE else up.box
+        path = up.path if name in INLINE else f"{up.path}/{name}" + (f".{first}" if first else "")
+        stack.append(Open(name, path, depth, element, box, word and box != depth or up.word, mark))
+    if at < len(page):
+        add(page[at:])
     flush()
     return out
 
 
 # --- wrappers -----------------------------------------------------------------------------------------
-# An item is [path or list of items, least, most, pages, text code or None for a slot, chars, flags]; flags: 1 boilerplate, 2 in article.
+# An item is [path or list of items, least, most, pages, text code or None for a slot, chars, [element, links, mark]], the last as of a Block.
 
 
-def fold_runs(blocks: list[tuple[str, bool, bool, str]]) -> list[list]:
+def fold_runs(blocks: list[Block]) -> list[list]:
     items: list[list] = []
-    for path, boiler, article, text in blocks:
+    for path, element, _box, _word, mark, links, text in blocks:
         if items and items[-1][0] == path:
             last = items[-1]
             last[1] += 1
             last[2] += 1
             last[4] = zlib.crc32(text.encode(), last[4])
             last[5] += len(text)
+            last[6] = [min(last[6][0], element), min(last[6][1], int(links)), min(last[6][2], mark)]
         else:
-            items.append([path, 1, 1, 1, zlib.crc32(text.encode()), len(text), boiler | 2 * article])
+            items.append([path, 1, 1, 1, zlib.crc32(text.encode()), len(text), [element, int(links), mark]])
     return fold_groups(items)
 
 
@@ -180,7 +221,7 @@ def shape_of(item: list) -> object:
 def widen(a: list, b: list) -> list:
     """One item that matches what either did."""
     inner = a[0] if isinstance(a[0], str) else [widen(x, y) for x, y in zip(a[0], b[0], strict=True)]
-    return [inner, min(a[1], b[1]), max(a[2], b[2]), a[3] + b[3], a[4] if a[4] == b[4] else None, a[5] + b[5], a[6] & b[6]]
+    return [inner, min(a[1], b[1]), max(a[2], b[2]), a[3] + b[3], a[4] if a[4] == b[4] else None, a[5] + b[5], [min(x, y) for x, y in zip(a[6], b[6], strict=True)]]
 
 
 def align(a: list[list], b: list[list]) -> list[list]:
@@ -215,47 +256,144 @@ def leaves(items: list[list]) -> Iterator[list]:
             yield from leaves(x[0])
 
 
-def main_container(items: list[list]) -> str | None:
-    """None where articles are marked as such; else the deepest path that holds four fifths of the varying text."""
-    if any(x[6] & 2 and not x[6] & 1 for x in leaves(items)):
-        return None
+def tag_of(path: str) -> str:
+    return path.rpartition("/")[2].partition(".")[0]
+
+
+def parts_above(path: str) -> list[str]:
+    """The parts of the page that hold a path, from the outermost; none of them is an element of text or below one."""
+    out, at = [], 0
+    while at != -1 and len(path) > 1:
+        at = path.find("/", at + 1)
+        own = path[:at] if at != -1 else path
+        if tag_of(own) in TEXT:
+            break
+        out.append(own)
+    return out
+
+
+def within(path: str, part: str) -> bool:
+    return not part or path == part or path.startswith(f"{part}/")
+
+
+def depth_of(path: str) -> int:
+    return path.count("/")
+
+
+def is_template(x: list) -> bool:
+    return x[4] is not None and x[3] >= LEAST_PAGES
+
+
+class Rules(NamedTuple):
+    items: list
+    shapes: list
+    core: str  # the deepest part that holds four fifths of the varying text
+    container: str  # the same, or the marked element around it
+    marked: bool  # the container is a list of marked elements: what isn't marked lies outside
+    varying: frozenset  # paths that have a slot
+    fixed: frozenset  # parts inside the container that hold template only
+
+
+def rules_of_items(items: list[list]) -> Rules:
+    every = list(leaves(items))
+    used = [x for x in every if not is_template(x) and not x[6][0] and not x[6][1]] or [x for x in every if not is_template(x) and tag_of(x[0]) != "head"]
     mass: dict[str, int] = {}
-    for x in leaves(items):
-        if not x[6] & 1 and (x[4] is None or x[3] < 3):
-            parts = x[0].split("/")
-            for k in range(1, len(parts)):
-                mass["/".join(parts[: k + 1])] = mass.get("/".join(parts[: k + 1]), 0) + x[5]
-    total = max(mass.values(), default=0)
-    found = max((p for p, n in mass.items() if n >= 0.8 * total), key=lambda p: p.count("/"), default="")
-    above, _, own = found.rpartition("/")
-    while above.count("/") > 2 and own and all(x[4] is None or x[3] < 3 for x in leaves(items) if x[0].startswith(f"{above}/") and not x[6] & 1):
-        found = above  # a heading beside the text varies as the text does
-        above, _, own = found.rpartition("/")
-    return found
+    for x in used:
+        for part in parts_above(x[0]):
+            mass[part] = mass.get(part, 0) + x[5]
+    total = sum(x[5] for x in used)
+    core = max((p for p, n in mass.items() if n >= 0.8 * total), key=depth_of, default="")
+    marks: dict[str, int] = {}
+    for x in used:
+        if x[6][2]:
+            own = "/".join(x[0].split("/")[: x[6][2] + 1])
+            marks[own] = marks.get(own, 0) + x[5]
+    around = max((p for p in marks if within(core, p)), key=depth_of, default="")
+    container, marked = core, False
+    if around and core:
+        container = around
+    elif sum(marks.values()) >= 0.8 * total and total:
+        marked = True
+    else:
+        above = core.rpartition("/")[0]
+        while depth_of(above) > 2 and all(not is_template(x) for x in every if within(x[0], above) and not x[6][0]):
+            container = above  # a heading beside the text varies as the text does
+            above = above.rpartition("/")[0]
+    whole: dict[str, bool] = {}
+    for x in every:
+        for part in parts_above(x[0]):
+            if within(part, container) and depth_of(part) > depth_of(container):
+                whole[part] = whole.get(part, True) and is_template(x)
+    return Rules(items, [shape_of(x) for x in items], core, container, marked, frozenset(x[0] for x in every if not is_template(x)), frozenset(p for p, t in whole.items() if t))
 
 
 @lru_cache(maxsize=512)
-def rules_of(wrapper: str) -> tuple[str | None, frozenset]:
-    """(main container, (path, text code) of template texts that three pages or more have alike)."""
-    items = json.loads(wrapper)
-    return main_container(items), frozenset((x[0], x[4]) for x in leaves(items) if x[4] is not None and x[3] >= 3)
+def rules_of(wrapper: str) -> Rules:
+    return rules_of_items(json.loads(wrapper))
+
+
+def places_of(blocks: list[Block], items: list[list]) -> list[list[int]]:
+    """The numbers of the blocks of each leaf of the items that fold_runs() made of them, in page order; a folded group has those of all its turns."""
+    runs: list[list[int]] = []
+    for i, b in enumerate(blocks):
+        if runs and blocks[runs[-1][0]].path == b.path:
+            runs[-1].append(i)
+        else:
+            runs.append([i])
+    out, at = [], 0
+    for x in items:
+        if isinstance(x[0], str):
+            out.append(runs[at])
+            at += 1
+        else:
+            size = len(x[0])
+            out += [[i for k in range(x[1]) for i in runs[at + k * size + j]] for j in range(size)]
+            at += x[1] * size
+    return out
+
+
+def evidence(blocks: list[Block], rules: Rules) -> list[int]:
+    """For each block 2 where the wrapper has a slot at its place, -2 where it has this very text as template, 0 where it can't tell."""
+    out = [0] * len(blocks)
+    items = fold_runs(blocks)
+    numbers = iter(places_of(blocks, items))
+    own = [[(x, next(numbers)) for x in leaves([item])] for item in items]
+    for i, j, n in SequenceMatcher(None, [shape_of(x) for x in items], rules.shapes, autojunk=False).get_matching_blocks():
+        for k in range(n):
+            for (x, places), known in zip(own[i + k], leaves([rules.items[j + k]]), strict=True):
+                said = 2 if known[4] is None else -2 if is_template(known) and known[4] == x[4] else 0
+                for at in places:
+                    out[at] = said
+    return out
+
+
+def weight(b: Block, said: int, rules: Rules) -> int:
+    """Above 0 for a block of the article."""
+    inside = within(b.path, rules.container) and (b.mark > 0 or not rules.marked)
+    held = sum(within(rules.core, p) for p in parts_above(b.path))  # so many parts hold the core too: what they are called says nothing
+    total = said + (2 if inside else -4)
+    if b.element > held:
+        total -= 6
+    if b.box > held:
+        total -= 4
+    total -= b.word + 2 * b.links + 3 * (b.word and b.links)
+    if not any(p in rules.fixed for p in parts_above(b.path)) and (tag_of(b.path) in TEXT or b.path in rules.varying):
+        total += 1
+    return total
 
 
 def extract(page: str, wrapper: str | None) -> str:
     """The article's blocks, two line feeds between them."""
     blocks = blocks_of(page)
-    container, template = rules_of(wrapper) if wrapper else (None, frozenset())
-    if any(article and not boiler for _, boiler, article, _ in blocks):
-        return "\n\n".join(text for _, boiler, article, text in blocks if article and not boiler)
-    clean = [b for b in blocks if not b[1]]
-    kept = [b for b in clean if not container or b[0] == container or b[0].startswith(f"{container}/")] or clean
-    fixed = {path for path, _ in template}
-    codes: dict[str, int] = {}
-    for item in fold_runs(blocks) if fixed else ():
-        for x in leaves([item]):
-            codes[x[0]] = x[4]
-    varied = [b for b in kept if (b[0], codes.get(b[0])) not in template]
-    return "\n\n".join(b[3] for b in (varied or kept))
+    if not blocks:
+        return ""
+    rules = rules_of(wrapper) if wrapper else rules_of_items(fold_runs(blocks))
+    said = evidence(blocks, rules) if wrapper else [0] * len(blocks)
+    kept = [b for b, n in zip(blocks, said, strict=True) if weight(b, n, rules) > 0]
+    if not kept:  # a page unlike the others of its host: its own marks, then whatever isn't boilerplate
+        clean = [(b, n) for b, n in zip(blocks, said, strict=True) if not b.element and not b.box]
+        kept = [b for b, n in clean if b.mark and n >= 0] or [b for b, n in clean if n >= 0] or [b for b, _ in clean]
+    return "\n\n".join(b.text for b in kept)
 
 
 # --- DataFrames ---------------------------------------------------------------------------------------
