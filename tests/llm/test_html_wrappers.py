@@ -22,6 +22,23 @@ def test_wrapper_tells_adverts_from_article(spark):
     assert got == {i: [words(i, 0), words(i, 1), words(i, 2), "Sources", words(i, 3)] for i in range(6)}
 
 
+def test_template_goes_by_place(spark):
+    """Without marks: a closing paragraph that never changes takes no other paragraph along; headings and lists stay."""
+    bodies = [
+        f'<div class="top"><p>Welcome to this site.</p></div><div class="content"><p>{words(i, 0)}</p><p>{words(i, 1)}</p><h2>{words(i, 2)}</h2><p>{words(i, 3)}</p><ul><li>{words(i, 4)}</li></ul><p>Thanks for reading.</p></div><div class="end"><p>All rights reserved.</p></div>'
+        for i in range(6)
+    ]
+    got = articles(site(spark, bodies))
+    assert got == {i: [*(words(i, k) for k in range(5)), "Thanks for reading."] for i in range(6)}
+
+
+def test_container_is_no_paragraph(spark):
+    """Where paragraphs hold nearly all of the varying text, the rest of the article still is its part."""
+    bodies = [f'<div class="top"><p>Welcome to this site.</p></div><div class="content"><h2>Part {i}</h2>{"".join(f"<p>{words(i, k)}</p>" for k in range(8))}<blockquote>Said {i}</blockquote><p>Thanks for reading.</p></div>' for i in range(6)]
+    got = articles(site(spark, bodies))
+    assert got == {i: [f"Part {i}", *(words(i, k) for k in range(8)), f"Said {i}", "Thanks for reading."] for i in range(6)}
+
+
 
 def test_empty_pages_and_no_pages(spark):
     df = spark.createDataFrame([(1, None, None), (2, "", ""), (3, "http://b.example/", "<p>Only words.</p>")], "page_id long, url string, html string")
