@@ -11,6 +11,7 @@ elements and class words as evidence beside it. Wrappers are merged from partial
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -403,58 +404,83 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
 
 
-MOST_HOSTS = 5_000
 WRAPPERS = "host string, wrapper string, pages long"
+#: A host's pages are merged in so many shares at most, each by its own task, then the shares.
+SHARES = 256
+#: A task forgets its pages after so many; this only saves shuffling copies.
+MOST_SEEN = 200_000
 
 
-def _sequence(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
-    """Merges (host, items, pages) rows by host; gives them out when there are many hosts."""
-    known: dict[str, tuple[list, int]] = {}
+def _merged(rows: Iterator[tuple], width: int) -> Iterator[pa.RecordBatch]:
+    """Merges rows of (*key, items, pages) that are sorted by key; the key's first column is the host. A key is given out when it is complete."""
+    key, items, n, out = None, [], 0, []
 
     def give() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(list(known)), pa.array([json.dumps(x[0], separators=(",", ":")) for x in known.values()]), pa.array([x[1] for x in known.values()], pa.int64())], ["host", "wrapper", "pages"])
-        known.clear()
+        made = pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.int64())], ["host", "wrapper", "pages"])
+        out.clear()
         return made
 
-    for batch in batches:
-        for host, items, n in make(batch):
-            known[host] = (align(known[host][0], items), known[host][1] + n) if host in known else (items, n)
-            if len(known) > MOST_HOSTS:
-                yield give()
-    if known:
+    for row in rows:
+        if row[:width] == key:
+            items, n = align(items, row[width]), n + row[width + 1]
+            continue
+        if key is not None:
+            out.append((key[0], json.dumps(items, separators=(",", ":")), n))
+        if len(out) >= 256:
+            yield give()
+        key, items, n = row[:width], row[width], row[width + 1]
+    if key is not None:
+        out.append((key[0], json.dumps(items, separators=(",", ":")), n))
         yield give()
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, wrapper, pages): one wrapper per host over all its different pages (copies teach nothing about what varies).
 
-    Partial wrappers of each partition are merged by host; a host gives at most one row per partition and
-    MOST_HOSTS hosts.
+    Pages are the same if host and all blocks are. Shares of a host's pages, by the hash of the blocks, are merged in the order of
+    the hashes, then the shares are: what comes out depends on the pages alone, not on how files or tasks divide them.
     """
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                out = []
+                for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    blocks = blocks_of(page or "")
+                    code = hashlib.md5(json.dumps(blocks).encode()).hexdigest()
+                    if blocks and (host, code) not in seen:
+                        if len(seen) >= MOST_SEEN:
+                            seen.clear()
+                        seen.add((host, code))
+                        out.append((host, int(code[:8], 16) % SHARES, code, json.dumps(fold_runs(blocks), separators=(",", ":"))))
+                columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], ["host", "share", "code", "items"])
 
-        def make(batch: pa.RecordBatch) -> Iterator[tuple]:
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                items = fold_runs(blocks_of(page or ""))
-                code = (host, zlib.crc32(json.dumps(items).encode()))
-                if items and code not in seen:
-                    if len(seen) < 200_000:
-                        seen.add(code)
-                    yield host, items, 1
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            last = None
+            for batch in batches:
+                for host, share, code, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if (host, code) != last:
+                        yield host, share, json.loads(items), 1
+                    last = (host, code)
 
-        yield from _sequence((b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64)), make)
+        yield from _merged(rows(), 2)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def make(batch: pa.RecordBatch) -> Iterator[tuple]:
-            for host, wrapper, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield host, json.loads(wrapper), n
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for host, wrapper, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    yield host, json.loads(wrapper), n
 
-        yield from _sequence(batches, make)
+        yield from _merged(rows(), 1)
 
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(partial, WRAPPERS).repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(merge, WRAPPERS)
+    parsed = rows.mapInArrow(parse, "host string, share int, code string, items string")
+    shares = parsed.repartition("host", "share").sortWithinPartitions("host", "share", "code").mapInArrow(partial, WRAPPERS)
+    return shares.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(merge, WRAPPERS)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -467,7 +493,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     wrappers = materialize(infer_wrappers(pages, url_col, html_col), "wrappers")
     kind = pages.schema[id_col].dataType.simpleString()
     size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper")), F.lit(0)).alias("n")).first()["n"]
-    small = wrappers.groupBy("host").agg(F.max_by("wrapper", "pages").alias("wrapper"))
+    small = wrappers.select("host", "wrapper")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     rows = rows.join(F.broadcast(small) if size < 8 << 20 else small, "host", "left").select("id", "url", "html", "wrapper")
 

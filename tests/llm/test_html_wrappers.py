@@ -39,6 +39,21 @@ def test_container_is_no_paragraph(spark):
     assert got == {i: [f"Part {i}", *(words(i, k) for k in range(8)), f"Said {i}", "Thanks for reading."] for i in range(6)}
 
 
+def test_copies_and_partitions_teach_nothing(spark):
+    """One page copied into many partitions counts once: what only it has isn't template, and each partitioning gives the same wrapper."""
+    bodies = [f'<div class="content"><p>{words(i, 0)}</p><p>{words(i, 1)}</p></div>' for i in range(5)]
+    odd = f'<div class="content"><p>{words(9, 0)}</p><div class="more">{words(9, 1)}</div></div>'
+    pages = site(spark, [*bodies, *[odd] * 12])
+    seen = set()
+    for parts in (1, 4, 17):
+        dealt = pages.repartition(parts)
+        (wrapper,) = html_wrappers.infer_wrappers(dealt).collect()
+        assert wrapper.pages == 6
+        seen.add(wrapper.wrapper)
+        got = articles(dealt)
+        assert all(got[i] == [words(9, 0), words(9, 1)] for i in range(5, 17)) and all(got[i] == [words(i, 0), words(i, 1)] for i in range(5))
+    assert len(seen) == 1
+
 
 def test_empty_pages_and_no_pages(spark):
     df = spark.createDataFrame([(1, None, None), (2, "", ""), (3, "http://b.example/", "<p>Only words.</p>")], "page_id long, url string, html string")
