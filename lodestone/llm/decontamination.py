@@ -4,7 +4,8 @@ Numbers, names and units become typed placeholders, letters lower case, punctuat
 resulting words are hashed; those of documents meet those of benchmark items in a hash join. An item is found in a document
 where enough of its windows are, and where its slots are filled consistently: in one alignment, one value of
 the item always has one value in the document, whatever it is. So a question with other numbers or names is caught
-as well as a copy.
+as well as a copy. Windows that are placeholders for the most part say little, so those are hashed as they are written: an item
+that has no others is found where its own numbers and names are.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ CONSISTENT = 0.8
 #: Windows of the benchmark up to this many are broadcast (24 bytes each); more are joined by shuffle.
 MOST_BROADCAST = 500_000
 
-NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"  # private-use characters
+NUMBER, NAME, UNIT, POINT = "\ue000", "\ue001", "\ue002", "\ue003"  # private-use characters
 # Punctuation that is dropped, and units of measure.
 PUNCTUATION = ",.!?;:\"'`()[]{}<>*#$%&|/\\=+-_~^«»“”„‘’…–—¿¡"
 UNITS = "mm cm m km mi ft in yd g kg mg t lb lbs oz l ml s sec min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years km/h kmh mph kw kwh w v a hz khz mhz ghz kb mb gb tb usd eur gbp euro euros dollar dollars cent cents percent meter meters metre metres mile miles gram grams liter liters litre litres degree degrees"
@@ -38,21 +39,49 @@ def canonical_text(text: Column) -> Column:
     return F.when(F.contains(plain, F.lit(NUMBER)), F.regexp_replace(plain, rf"({NUMBER} ?)(?:{units})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}")).otherwise(plain)
 
 
-def canonical_words(text: Column) -> Column:
-    return F.filter(F.split(canonical_text(F.coalesce(text, F.lit(""))), SPACES), lambda w: w != "")
+def written_text(text: Column) -> Column:
+    """The text in lower case, without punctuation but that within numbers; its pieces match those of canonical_text() one to one."""
+    marked = F.when(text.rlike("[0-9][.,][0-9]"), F.regexp_replace(text, "(?<=[0-9])[.,](?=[0-9])", POINT)).otherwise(text)
+    return F.translate(F.lower(marked), PUNCTUATION, "")
 
 
-def _window_hash(hashes: Column, at: Column, size: int) -> Column:
-    return F.xxhash64(*[F.get(hashes, at + F.lit(j)) for j in range(size)])
+def canonical_pairs(text: Column) -> Column:
+    """The canonical words, each with the word as written."""
+    text = F.coalesce(text, F.lit(""))
+    zipped = F.arrays_zip(F.split(canonical_text(text), SPACES).alias("word"), F.split(written_text(text), SPACES).alias("written"))
+    return F.filter(zipped, lambda z: z["word"] != "")
+
+
+def _literal(word: Column) -> Column:
+    """Whether a word is more than placeholders."""
+    return F.translate(word, NUMBER + NAME + UNIT, "") != ""
+
+
+def with_hashes(rows: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, h, r, l) of rows with `pairs`: hashes of the canonical words and of the words as written, and 1 for words that are more than placeholders."""
+    return rows.select(
+        *keys, F.transform("pairs", lambda z: F.xxhash64(z["word"])).alias("h"), F.transform("pairs", lambda z: F.xxhash64(z["written"])).alias("r"), F.transform("pairs", lambda z: _literal(z["word"]).cast("int")).alias("l"),
+    )
+
+
+def _is_light(at: Column, size: int) -> Column:
+    """Whether more than half of a window's words are more than placeholders."""
+    return 2 * reduce(Column.__add__, [F.get(F.col("l"), at + F.lit(j)) for j in range(size)]) > size
+
+
+def _window_hash(at: Column, size: int) -> Column:
+    """The hash of the canonical words of a window, or of the written ones where it is placeholders for the most part."""
+    canonical = F.xxhash64(*[F.get(F.col("h"), at + F.lit(j)) for j in range(size)])
+    return F.when(_is_light(at, size), canonical).otherwise(F.xxhash64(F.lit("="), *[F.get(F.col("r"), at + F.lit(j)) for j in range(size)]))
 
 
 def _hash_all(places: Column, size: int) -> Column:
-    return F.transform(places, lambda i: _window_hash(F.col("h"), i, size))
+    return F.transform(places, lambda i: _window_hash(i, size))
 
 
 def window_hashes(rows: DataFrame, key: str, sizes: list[int]) -> DataFrame:
-    """(key, at, hash): every window of each size of the rows' `words`; windows of different sizes never share a hash input."""
-    hashed = rows.select(key, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    """(key, at, hash): every window of each size of the rows' `pairs`; windows of different sizes never share a hash input."""
+    hashed = with_hashes(rows, key)
     n = F.size("h")
     found = []
     for size in sizes:
@@ -61,27 +90,28 @@ def window_hashes(rows: DataFrame, key: str, sizes: list[int]) -> DataFrame:
     return reduce(DataFrame.union, found)
 
 
-def _literal(words: Column) -> Column:
-    """How many words are more than placeholders."""
-    return F.size(F.filter(words, lambda w: ~w.rlike(f"^[{NUMBER}{NAME}{UNIT}]+$")))
-
-
 def item_windows(items: DataFrame, width: int) -> DataFrame:
-    """(item_id, at, hash, width, n_windows) of the windows that can identify an item: more than half of their words aren't placeholders.
+    """(item_id, at, hash, width, n_windows) of the windows that identify an item: more than half of their words aren't placeholders.
 
-    An item of fewer than `width` words has one window, all of it.
+    An item that has no such window has all of its windows. An item of fewer than `width` words has one window, all of it.
+    In a document an item's first word may follow others and then count as a name or a unit, so the first window has a hash for each case.
     """
-    words = items.select("item_id", canonical_words(F.col("text")).alias("words")).where(F.size("words") > 0)
-    words = words.withColumn("width", F.least(F.size("words"), F.lit(width)))
-    each = words.select("item_id", "width", "words", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("width"))).alias("at"))
-    own = F.slice("words", F.col("at") + 1, F.col("width"))
-    hashed = F.when(F.lit(False), F.lit(0).cast("long"))
-    hashes = F.transform(own, lambda w: F.xxhash64(w))
+    text = F.ltrim(F.coalesce(F.col("text"), F.lit("")))
+    rows = items.select("item_id", F.explode(F.array(F.lit(""), F.lit("x "), F.lit("5 "))).alias("before"), text.alias("text"))
+    rows = rows.select("item_id", "before", canonical_pairs(F.concat("before", "text")).alias("pairs"))
+    rows = rows.withColumn("pairs", F.when(F.col("before") == "", F.col("pairs")).otherwise(F.slice("pairs", F.lit(2), F.greatest(F.size("pairs") - 1, F.lit(0))))).where(F.size("pairs") > 0)
+    words = with_hashes(rows, "item_id", "before").withColumn("width", F.least(F.size("h"), F.lit(width)))
+    last = F.when(F.col("before") == "", F.size("h") - F.col("width")).otherwise(0)
+    each = words.select("*", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    hashed, light = F.when(F.lit(False), F.lit(0).cast("long")), F.when(F.lit(False), F.lit(False))
     for size in range(1, width + 1):
-        hashed = hashed.when(F.col("width") == size, _window_hash(hashes, F.lit(0), size))
-    each = each.withColumn("hash", hashed).where(2 * _literal(own) > F.col("width"))
-    counts = each.groupBy("item_id").agg(F.count_distinct("at").alias("n_windows"))
-    return each.select("item_id", "at", "hash", "width").distinct().join(counts, "item_id")
+        hashed = hashed.when(F.col("width") == size, _window_hash(F.col("at"), size))
+        light = light.when(F.col("width") == size, _is_light(F.col("at"), size))
+    each = each.select("item_id", "at", "width", hashed.alias("hash"), (light & (F.col("before") == "")).alias("light"))
+    places = each.groupBy("item_id", "at").agg(F.max("light").alias("light"))
+    items_light = places.groupBy("item_id").agg(F.max("light").alias("any_light"), F.count_if("light").alias("n_light"), F.count("*").alias("n"))
+    kept = places.join(items_light, "item_id").where("light OR NOT any_light").select("item_id", "at", F.when(F.col("any_light"), F.col("n_light")).otherwise(F.col("n")).alias("n_windows"))
+    return each.select("item_id", "at", "hash", "width").distinct().join(kept, ["item_id", "at"]).select("item_id", "at", "hash", "width", "n_windows")
 
 
 def contaminated(
@@ -92,7 +122,7 @@ def contaminated(
 
     An item is found where at least `coverage` of its distinct windows are in the document and at least
     `consistent` of its slots (item values at placeholders, by alignment) have a single value there; copies have no slots or consistent ones. Null and empty
-    texts hold nothing; an item without words, or of placeholders for the most part, is never found. Rows of the same id count
+    texts hold nothing; an item without words is never found, one of placeholders for the most part only with its own numbers and names. Rows of the same id count
     together (null ids as one), as do items. Empty tables give no rows; further columns aren't read.
     """
     items = materialize(item_windows(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")), width), "item_windows")
@@ -102,7 +132,7 @@ def contaminated(
         return docs.select(id_col).where("false").crossJoin(items.select("item_id", "n_windows").limit(0)).selectExpr(
             f"`{id_col}`", "item_id", "n_windows", "0L AS matched", "0D AS coverage", "0L AS n_slots", "0L AS consistent_slots"
         )
-    rows = docs.select(F.col(id_col).alias("key"), canonical_words(F.col(text_col)).alias("words"))
+    rows = docs.select(F.col(id_col).alias("key"), canonical_pairs(F.col(text_col)).alias("pairs"))
     probe = items.select(F.col("item_id"), F.col("at").alias("p"), "hash", F.col("width"), "n_windows")
     if n <= MOST_BROADCAST:
         probe = F.broadcast(probe)
