@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -45,11 +45,14 @@ def written_text(text: Column) -> Column:
     return F.translate(F.lower(marked), PUNCTUATION, "")
 
 
-def canonical_pairs(text: Column) -> Column:
-    """The canonical words, each with the word as written."""
-    text = F.coalesce(text, F.lit(""))
-    zipped = F.arrays_zip(F.split(canonical_text(text), SPACES).alias("word"), F.split(written_text(text), SPACES).alias("written"))
-    return F.filter(zipped, lambda z: z["word"] != "")
+def with_pairs(rows: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, pairs) of rows with `text`: the canonical words, each with the word as written, which is null where the text has no placeholders."""
+    seen = rows.select(*keys, F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("canonical", canonical_text(F.col("text")))
+    words = F.split("canonical", SPACES)
+    zipped = F.arrays_zip(words.alias("word"), F.split(written_text(F.col("text")), SPACES).alias("written"))
+    plain = F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(None).cast("string").alias("written")))
+    has = F.col("canonical").rlike(f"[{NUMBER}{NAME}{UNIT}]")
+    return seen.select(*keys, F.filter(F.when(has, zipped).otherwise(plain), lambda z: z["word"] != "").alias("pairs"))
 
 
 def _literal(word: Column) -> Column:
@@ -58,9 +61,14 @@ def _literal(word: Column) -> Column:
 
 
 def with_hashes(rows: DataFrame, *keys: str) -> DataFrame:
-    """(*keys, h, r, l) of rows with `pairs`: hashes of the canonical words and of the words as written, and 1 for words that are more than placeholders."""
+    """(*keys, h, r, l) of rows with `pairs`: hashes of the canonical words and of the words as written, and 1 for words that are more than placeholders.
+
+    The last two are empty where there are no placeholders.
+    """
+    mixed = F.when(F.get("pairs", F.lit(0))["written"].isNotNull(), F.col("pairs")).otherwise(F.slice("pairs", 1, 0))
+    rows = rows.select(*keys, "pairs", mixed.alias("mixed"))
     return rows.select(
-        *keys, F.transform("pairs", lambda z: F.xxhash64(z["word"])).alias("h"), F.transform("pairs", lambda z: F.xxhash64(z["written"])).alias("r"), F.transform("pairs", lambda z: _literal(z["word"]).cast("int")).alias("l"),
+        *keys, F.transform("pairs", lambda z: F.xxhash64(z["word"])).alias("h"), F.transform("mixed", lambda z: F.xxhash64(z["written"])).alias("r"), F.transform("mixed", lambda z: _literal(z["word"]).cast("int")).alias("l"),
     )
 
 
@@ -69,14 +77,17 @@ def _is_light(at: Column, size: int) -> Column:
     return 2 * reduce(Column.__add__, [F.get(F.col("l"), at + F.lit(j)) for j in range(size)]) > size
 
 
+def _canonical_hash(at: Column, size: int) -> Column:
+    return F.xxhash64(*[F.get(F.col("h"), at + F.lit(j)) for j in range(size)])
+
+
 def _window_hash(at: Column, size: int) -> Column:
     """The hash of the canonical words of a window, or of the written ones where it is placeholders for the most part."""
-    canonical = F.xxhash64(*[F.get(F.col("h"), at + F.lit(j)) for j in range(size)])
-    return F.when(_is_light(at, size), canonical).otherwise(F.xxhash64(F.lit("="), *[F.get(F.col("r"), at + F.lit(j)) for j in range(size)]))
+    return F.when((F.size("l") == 0) | _is_light(at, size), _canonical_hash(at, size)).otherwise(F.xxhash64(F.lit("="), *[F.get(F.col("r"), at + F.lit(j)) for j in range(size)]))
 
 
 def _hash_all(places: Column, size: int) -> Column:
-    return F.transform(places, lambda i: _window_hash(i, size))
+    return F.when(F.size("l") == 0, F.transform(places, lambda i: _canonical_hash(i, size))).otherwise(F.transform(places, lambda i: _window_hash(i, size)))
 
 
 def window_hashes(rows: DataFrame, key: str, sizes: list[int]) -> DataFrame:
@@ -98,7 +109,7 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
     """
     text = F.ltrim(F.coalesce(F.col("text"), F.lit("")))
     rows = items.select("item_id", F.explode(F.array(F.lit(""), F.lit("x "), F.lit("5 "))).alias("before"), text.alias("text"))
-    rows = rows.select("item_id", "before", canonical_pairs(F.concat("before", "text")).alias("pairs"))
+    rows = with_pairs(rows.select("item_id", "before", F.concat("before", "text").alias("text")), "item_id", "before")
     rows = rows.withColumn("pairs", F.when(F.col("before") == "", F.col("pairs")).otherwise(F.slice("pairs", F.lit(2), F.greatest(F.size("pairs") - 1, F.lit(0))))).where(F.size("pairs") > 0)
     words = with_hashes(rows, "item_id", "before").withColumn("width", F.least(F.size("h"), F.lit(width)))
     last = F.when(F.col("before") == "", F.size("h") - F.col("width")).otherwise(0)
@@ -106,7 +117,7 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
     hashed, light = F.when(F.lit(False), F.lit(0).cast("long")), F.when(F.lit(False), F.lit(False))
     for size in range(1, width + 1):
         hashed = hashed.when(F.col("width") == size, _window_hash(F.col("at"), size))
-        light = light.when(F.col("width") == size, _is_light(F.col("at"), size))
+        light = light.when(F.col("width") == size, (F.size("l") == 0) | _is_light(F.col("at"), size))
     each = each.select("item_id", "at", "width", hashed.alias("hash"), (light & (F.col("before") == "")).alias("light"))
     places = each.groupBy("item_id", "at").agg(F.max("light").alias("light"))
     items_light = places.groupBy("item_id").agg(F.max("light").alias("any_light"), F.count_if("light").alias("n_light"), F.count("*").alias("n"))
@@ -120,8 +131,10 @@ def contaminated(
 ) -> DataFrame:
     """(id, item_id, n_windows, matched, coverage, n_slots, consistent_slots) of each document and benchmark item found in it.
 
-    An item is found where at least `coverage` of its distinct windows are in the document and at least
-    `consistent` of its slots (item values at placeholders, by alignment) have a single value there; copies have no slots or consistent ones. Null and empty
+    An item is found where one alignment has at least `coverage` of its distinct windows and at least
+    `consistent` of its slots (item values at placeholders) have a single value in it; copies have no slots or consistent ones.
+    An alignment is one shift between document and item, or a run of shifts that are few words apart, as edits make them. The figures are those
+    of the alignment that covers most. Null and empty
     texts hold nothing; an item without words is never found, one of placeholders for the most part only with its own numbers and names. Rows of the same id count
     together (null ids as one), as do items. Empty tables give no rows; further columns aren't read.
     """
@@ -132,45 +145,68 @@ def contaminated(
         return docs.select(id_col).where("false").crossJoin(items.select("item_id", "n_windows").limit(0)).selectExpr(
             f"`{id_col}`", "item_id", "n_windows", "0L AS matched", "0D AS coverage", "0L AS n_slots", "0L AS consistent_slots"
         )
-    rows = docs.select(F.col(id_col).alias("key"), canonical_pairs(F.col(text_col)).alias("pairs"))
+    rows = with_pairs(docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")), "key")
     probe = items.select(F.col("item_id"), F.col("at").alias("p"), "hash", F.col("width"), "n_windows")
     if n <= MOST_BROADCAST:
         probe = F.broadcast(probe)
     hits = window_hashes(rows, "key", sizes).join(probe, ["hash", "width"]).select("key", "item_id", F.col("at").alias("q"), "p", "width", "n_windows")
     hits = materialize(hits, "hits")
     found = hits.groupBy("key", "item_id").agg(F.first("n_windows").alias("n_windows"), F.count_distinct("p").alias("matched")).where(F.col("matched") >= coverage * F.col("n_windows"))
-    found = materialize(found, "found")
-    slots = _slots(docs, benchmark, hits, found, id_col, text_col, item_col, item_text)
-    both = found.join(slots, found["key"].eqNullSafe(slots["slot_key"]) & (found["item_id"] == slots["slot_item"]), "left").select(
-        F.col("key").alias(id_col), "item_id", "n_windows", "matched", (F.col("matched") / F.col("n_windows")).alias("coverage"),
-        F.coalesce("n_slots", F.lit(0).cast("long")).alias("n_slots"), F.coalesce("consistent_slots", F.lit(0).cast("long")).alias("consistent_slots"),
+    found = found.select(F.col("key").alias("k"), F.col("item_id").alias("i"))  # no alignment covers more than all of them do together
+    hits = hits.join(found, hits["key"].eqNullSafe(found["k"]) & (hits["item_id"] == found["i"]), "left_semi")
+    aligned = materialize(_aligned(hits, coverage), "aligned")
+    slots = _slots(docs, benchmark, aligned, id_col, text_col, item_col, item_text)
+    known = aligned.select("key", "item_id", "low", "high", "n_windows", "matched").distinct()
+    same = known["key"].eqNullSafe(slots["slot_key"]) & (known["item_id"] == slots["slot_item"]) & (known["low"] == slots["slot_low"]) & (known["high"] == slots["slot_high"])
+    both = known.join(slots, same, "left").select("key", "item_id", "low", "high", "n_windows", "matched", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_slots", "consistent_slots")))
+    both = both.where((F.col("n_slots") == 0) | (F.col("consistent_slots") >= consistent * F.col("n_slots")))
+    best = F.max(F.struct("matched", (-F.col("high") + F.col("low")).alias("near"), F.col("low"), "n_windows", "n_slots", "consistent_slots")).alias("best")
+    return both.groupBy("key", "item_id").agg(best).select(
+        F.col("key").alias(id_col), "item_id", "best.n_windows", "best.matched", (F.col("best.matched") / F.col("best.n_windows")).alias("coverage"), "best.n_slots", "best.consistent_slots",
     )
-    return both.where((F.col("n_slots") == 0) | (F.col("consistent_slots") >= consistent * F.col("n_slots")))
+
+
+def _aligned(hits: DataFrame, coverage: float) -> DataFrame:
+    """(key, item_id, shift, p, width, n_windows, low, high, matched): the hits of each alignment, from shift `low` to `high`, that covers enough of its item.
+
+    Each shift is an alignment; so is each run of shifts with gaps of at most a quarter of the item's windows (one word at least).
+    """
+    hits = hits.withColumn("shift", F.col("q") - F.col("p")).select("key", "item_id", "shift", "p", "width", "n_windows").distinct()
+    order = Window.partitionBy("key", "item_id").orderBy("shift")
+    gap = F.col("shift") - F.lag("shift").over(order)
+    shifts = hits.select("key", "item_id", "shift", "n_windows").distinct().withColumn("new", F.coalesce((gap > F.greatest(F.lit(1), F.col("n_windows") / 4)).cast("int"), F.lit(1)))
+    runs = shifts.withColumn("run", F.sum("new").over(order))
+    ends = Window.partitionBy("key", "item_id", "run")
+    runs = runs.select(F.col("key").alias("k"), F.col("item_id").alias("i"), F.col("shift").alias("s"), F.min("shift").over(ends).alias("low"), F.max("shift").over(ends).alias("high"))
+    wide = runs.where("low < high")
+    of_runs = hits.join(wide, hits["key"].eqNullSafe(wide["k"]) & (hits["item_id"] == wide["i"]) & (hits["shift"] == wide["s"])).select(*hits.columns, "low", "high")
+    every = hits.withColumns({"low": F.col("shift"), "high": F.col("shift")}).union(of_runs)
+    covered = every.groupBy("key", "item_id", "low", "high").agg(F.first("n_windows").alias("n"), F.count_distinct("p").alias("matched")).where(F.col("matched") >= coverage * F.col("n"))
+    covered = covered.select(F.col("key").alias("k"), F.col("item_id").alias("i"), F.col("low").alias("l"), F.col("high").alias("u"), "matched")
+    same = every["key"].eqNullSafe(covered["k"]) & (every["item_id"] == covered["i"]) & (every["low"] == covered["l"]) & (every["high"] == covered["u"])
+    return every.join(covered, same).drop("k", "i", "l", "u")
 
 
 def _placeholder_words(rows: DataFrame, key: str) -> DataFrame:
-    """(key, at, kind, value): the original words at placeholders, by their place among the canonical words."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    zipped = F.filter(F.arrays_zip(F.split(text, SPACES).alias("raw"), F.split(canonical_text(text), SPACES).alias("word")), lambda z: z["word"] != "")
-    each = rows.select(key, F.posexplode(zipped).alias("at", "z")).where(F.col("z.word").rlike(f"[{NUMBER}{NAME}{UNIT}]"))
-    return each.select(key, "at", F.col("z.word").alias("kind"), F.lower(F.regexp_replace(F.col("z.raw"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")).alias("value"))
+    """(key, at, kind, value): the words as written at placeholders, by their place among the canonical words."""
+    each = with_pairs(rows.select(key, "text"), key).select(key, F.posexplode("pairs").alias("at", "z"))
+    return each.where(F.col("z.word").rlike(f"[{NUMBER}{NAME}{UNIT}]")).select(key, "at", F.col("z.word").alias("kind"), F.col("z.written").alias("value"))
 
 
-def _slots(docs: DataFrame, benchmark: DataFrame, hits: DataFrame, found: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
-    """(slot_key, slot_item, n_slots, consistent_slots) of the pairs found that have slots at all."""
+def _slots(docs: DataFrame, benchmark: DataFrame, aligned: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
+    """(slot_key, slot_item, slot_low, slot_high, n_slots, consistent_slots) of the alignments that have slots at all."""
     ours = _placeholder_words(benchmark.select(F.col(item_col).alias("slot_item"), F.col(item_text).alias("text")), "slot_item").withColumnRenamed("at", "slot_at")
     ours = materialize(ours.select("slot_item", "slot_at", "kind", F.col("value").alias("own")), "item_slots")
-    pairs = found.select(F.col("key").alias("k"), F.col("item_id").alias("i"))
-    kept = hits.join(pairs, hits["key"].eqNullSafe(pairs["k"]) & (hits["item_id"] == pairs["i"]), "left_semi")
-    places = kept.select("key", "item_id", (F.col("q") - F.col("p")).alias("shift"), F.explode(F.sequence(F.col("p"), F.col("p") + F.col("width") - 1)).alias("place")).distinct()
+    places = aligned.select("key", "item_id", "low", "high", "shift", F.explode(F.sequence(F.col("p"), F.col("p") + F.col("width") - 1)).alias("place")).distinct()
     places = materialize(places.join(ours, (F.col("item_id") == F.col("slot_item")) & (F.col("place") == F.col("slot_at"))).drop("slot_item", "slot_at"), "slots")
     wanted = places.select("key").distinct()
     texts = docs.select(F.col(id_col).alias("slot_key"), F.col(text_col).alias("text"))
     texts = texts.join(wanted, texts["slot_key"].eqNullSafe(wanted["key"]), "left_semi")
     theirs = _placeholder_words(texts, "slot_key").select("slot_key", F.col("at").alias("slot_at"), F.col("kind").alias("their_kind"), "value")
     met = places.join(theirs, places["key"].eqNullSafe(theirs["slot_key"]) & (F.col("place") + F.col("shift") == F.col("slot_at")) & (F.col("kind") == F.col("their_kind")))
-    values = met.groupBy("key", "item_id", "shift", "kind", "own").agg(F.count_distinct("value").alias("different"))
-    return values.groupBy(F.col("key").alias("slot_key"), F.col("item_id").alias("slot_item")).agg(F.count("*").alias("n_slots"), F.count_if(F.col("different") == 1).alias("consistent_slots"))
+    values = met.groupBy("key", "item_id", "low", "high", "kind", "own").agg(F.count_distinct("value").alias("different"))
+    slots = values.groupBy("key", "item_id", "low", "high").agg(F.count("*").alias("n_slots"), F.count_if(F.col("different") == 1).alias("consistent_slots"))
+    return slots.select(*(F.col(c).alias(f"slot_{n}") for c, n in (("key", "key"), ("item_id", "item"), ("low", "low"), ("high", "high"))), "n_slots", "consistent_slots")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

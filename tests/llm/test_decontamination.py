@@ -28,3 +28,14 @@ def test_other_numbers_are_still_found(spark):
     item = "a train leaves the old station at 12 and covers 30 km in the first hour of the trip"
     docs = {1: item, 2: item.replace("12", "17").replace("30", "44")}
     assert pairs(decontamination.contaminated(*tables(spark, [item], docs))) == {(1, 0), (2, 0)}
+
+
+def test_each_alignment_is_judged_alone(spark):
+    """A consistent copy is found though other text on its template is not consistent; pieces of several places don't make up one copy; an edited copy is one."""
+    item = "the shop sold 12 red apples to the first guest and again 12 green apples to the second guest today"
+    other = item.replace("12 red", "15 red").replace("12 green", "99 green")
+    cut = item.split()
+    docs = {
+        1: f"{other} . so we saw . {item}", 2: other, 3: " ".join([*cut[:8], *["word"] * 60, *cut[12:]]), 4: " ".join([*cut[:10], "very", *cut[10:]]),
+    }
+    assert pairs(decontamination.contaminated(*tables(spark, [item], docs))) == {(1, 0), (4, 0)}
