@@ -28,7 +28,8 @@ KINDS = ("email", "ip", "card", "phone")
 
 # The wider generators' patterns.
 MAIL_SPELLED = rf"(?<!{_LOCAL}){_LOCAL}++ ?(?:\((?:at|AT)\)|\[(?:at|AT)\]|(?<= )at(?= )) ?[A-Za-z0-9-]++(?: ?(?:\.|\((?:dot|DOT)\)|\[(?:dot|DOT)\]|(?<= )dot(?= )) ?[A-Za-z0-9-]++)++"
-IP_SIX = r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){5,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"
+_GROUP = "[0-9A-Fa-f]{1,4}"
+IP_SIX = rf"(?<![0-9A-Za-z:])(?:(?:{_GROUP}:){{5,7}}{_GROUP}|(?:(?:{_GROUP}:){{1,7}}:|::(?={_GROUP}))(?:{_GROUP}(?::{_GROUP}){{0,6}})?)(?![0-9A-Za-z:])"
 CARD_SHORT = r"(?<![0-9A-Za-z.+-])[0-9](?:[\x20-]?[0-9]){12,14}(?![0-9A-Za-z]|[\x20-][0-9])"
 PHONE_NATIONAL = r"(?<![0-9A-Za-z.+-])(?:00[0-9]{1,3}[ .-])?(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ .-])[0-9]{2,5}(?:[ .-][0-9]{2,5}){1,3}(?![0-9A-Za-z]|[.-][0-9])"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -75,9 +76,10 @@ class Generator:
         if self.name == "phone":
             return n_digits(value).between(8, 15)
         if self.name == "mail_spelled":
-            return F.lower(value).rlike(r"(?:\.|dot[)\]]?) ?[a-z]{2,6}$")
+            return F.lower(value).rlike(r"(?:\.|dot[)\]]?) ?[a-z]{2,6}$") & ~value.rlike(r" at .*(?:\. | \.)")  # "at home. Then" is prose
         if self.name == "ip_six":
-            return value.rlike("^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$") & value.rlike("[0-9]")
+            groups = F.size(F.filter(F.split(value, ":"), lambda x: x != ""))
+            return (value.rlike(f"^(?:{_GROUP}:){{7}}{_GROUP}$") | (value.contains("::") & (groups <= 7))) & value.rlike("[0-9]")
         if self.name == "card_short":
             return n_digits(value).between(13, 15) & luhn(value) & value.rlike("^[3-6]")
         if self.name == "phone_national":
@@ -90,8 +92,8 @@ GENERATORS = (
     Generator("ip", 1, IP, "text rlike '[0-9][.][0-9]'", True),
     Generator("card", 2, CARD, "digits", True),
     Generator("phone", 3, PHONE, "contains(text, '+')", True),
-    Generator("mail_spelled", 0, MAIL_SPELLED, "text rlike '[(\\\\[](?:at|AT)[)\\\\]]' OR contains(text, ' dot ')"),
-    Generator("ip_six", 1, IP_SIX, "text rlike '[0-9A-Fa-f]:[0-9A-Fa-f]'"),
+    Generator("mail_spelled", 0, MAIL_SPELLED, "text rlike '[(\\\\[](?:at|AT)[)\\\\]]' OR contains(text, ' at ')"),
+    Generator("ip_six", 1, IP_SIX, "text rlike '[0-9A-Fa-f]:[0-9A-Fa-f:]|::[0-9A-Fa-f]'"),
     Generator("card_short", 2, CARD_SHORT, "digits"),
     Generator("phone_national", 3, PHONE_NATIONAL, "digits"),
 )
