@@ -209,7 +209,12 @@ def _slots(docs: DataFrame, benchmark: DataFrame, aligned: DataFrame, id_col: st
     return slots.select(*(F.col(c).alias(f"slot_{n}") for c, n in (("key", "key"), ("item_id", "item"), ("low", "low"), ("high", "high"))), "n_slots", "consistent_slots")
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of `docs`, all columns, in which no benchmark item is found."""
-    gone = materialize(contaminated(docs, benchmark, id_col, **options).select(F.col(id_col)).distinct(), "contaminated")
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs`, all columns, in which no benchmark item is found. Rows of the same id count together; rows without an id do where their texts are equal."""
+    own = "clean_key"
+    while own in docs.columns:
+        own += "_"
+    text = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    keyed = docs.withColumn(own, F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.concat(F.lit("t"), text)))
+    gone = materialize(contaminated(keyed, benchmark, own, text_col, **options).select(own).distinct(), "contaminated")
+    return keyed.join(gone, own, "left_anti").select(*docs.columns)

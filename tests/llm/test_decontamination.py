@@ -39,3 +39,22 @@ def test_each_alignment_is_judged_alone(spark):
         1: f"{other} . so we saw . {item}", 2: other, 3: " ".join([*cut[:8], *["word"] * 60, *cut[12:]]), 4: " ".join([*cut[:10], "very", *cut[10:]]),
     }
     assert pairs(decontamination.contaminated(*tables(spark, [item], docs))) == {(1, 0), (4, 0)}
+
+
+def test_rows_without_id_are_kept_or_go_by_their_text(spark):
+    item = "which of the many rivers of this land is known to be the longest one"
+    docs = spark.createDataFrame([(1, f"so {item} then"), (2, "plain words of nobody"), (None, f"again {item} then"), (None, "other plain words"), (None, None)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(0, item)], "item_id long, text string")
+    kept = decontamination.keep_clean(docs, benchmark)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id or 0, r.text or "") for r in kept.collect())) == [(0, ""), (0, "other plain words"), (2, "plain words of nobody")]
+
+
+def test_pipeline_stage_drops_copies_without_id(spark):
+    import corpus_pipeline
+    from conftest import SF
+    from lodestone.llm.common import table
+
+    item = table(spark, SF, "benchmark").orderBy("item_id").first().text
+    docs = spark.createDataFrame([(None, f"so it is: {item}"), (None, "plain words of nobody")], "doc_id long, text string")
+    assert [r.text for r in corpus_pipeline.benchmark_decontamination(spark, docs, SF).collect()] == ["plain words of nobody"]
