@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_arrow, materialize
 
 # Fixed values of the language: elements by their part in block structure.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -478,9 +478,9 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
         yield from _merged(rows(), 1)
 
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    parsed = rows.mapInArrow(parse, "host string, share int, code string, items string")
-    shares = parsed.repartition("host", "share").sortWithinPartitions("host", "share", "code").mapInArrow(partial, WRAPPERS)
-    return shares.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(merge, WRAPPERS)
+    parsed = map_arrow(rows, parse, "host string, share int, code string, items string")
+    shares = map_arrow(parsed.repartition("host", "share").sortWithinPartitions("host", "share", "code"), partial, WRAPPERS)
+    return map_arrow(shares.repartition("host").sortWithinPartitions("host", "wrapper"), merge, WRAPPERS)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -488,14 +488,20 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     Null and empty html give an empty text, as does a page that is boilerplate all through. Pages without a host
     share a wrapper. Repeated rows each have a row; an empty table gives no rows; further columns aren't read.
-    Wrappers are broadcast while they are small (measured: 8 MB), else joined by host.
+    Wrappers are broadcast while they are small (measured: 8 MB); else those of hosts with 1/256 of all different pages or more are, which are
+    256 at most, and the rest is joined by host.
     """
     wrappers = materialize(infer_wrappers(pages, url_col, html_col), "wrappers")
     kind = pages.schema[id_col].dataType.simpleString()
-    size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper")), F.lit(0)).alias("n")).first()["n"]
-    small = wrappers.select("host", "wrapper")
+    size, total = wrappers.agg(F.coalesce(F.sum(F.length("wrapper")), F.lit(0)), F.coalesce(F.sum("pages"), F.lit(0))).first()
+    every = wrappers.select("host", "wrapper")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    rows = rows.join(F.broadcast(small) if size < 8 << 20 else small, "host", "left").select("id", "url", "html", "wrapper")
+    if size < 8 << 20:
+        rows = rows.join(F.broadcast(every), "host", "left").select("id", "url", "html", "wrapper")
+    else:
+        large = F.broadcast(wrappers.where(F.col("pages") * 256 >= total).select("host", "wrapper"))
+        rest = rows.join(large, "host", "left_anti").join(every, "host", "left")
+        rows = rows.join(large, "host").select("id", "url", "html", "wrapper").unionByName(rest.select("id", "url", "html", "wrapper"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -504,5 +510,5 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                 texts = [extract(p, w) if p else "" for p, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
 
-    done = rows.mapInArrow(run, f"id {kind}, url string, text string")
+    done = map_arrow(rows, run, f"id {kind}, url string, text string")
     return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

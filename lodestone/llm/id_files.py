@@ -2,14 +2,14 @@
 
 A set of files holds one codebook (a code length per id) and frames. A frame is decoded on its own: it has
 the documents' ids and token counts, and a bit offset for every 64th token, so that a reader can start at any
-of them; the decoder runs all of them in step through one table. Frames lie in ascending doc_id order and
-carry the number of ids before them.
+of them; the decoder runs all of them in step through one table. Frames lie in ascending doc_id order, within a file and
+from file to file, and carry the number of ids before them.
 
     frame = "LHF1" | u32 documents | u64 ids before | u64 ids | u32 interval | u32 payload bytes | u32 payload crc32
           | u8 has_id x documents | i64 doc_id x documents | u32 ids x documents | u32 bit offset x checkpoints | payload
 
-All numbers are little-endian, the bit stream runs from the most significant bit. Frames are written by Spark
-as a binary column of Parquet, so that a lost task's frames are never half there.
+All numbers are little-endian, the bit stream runs from the most significant bit; bits between the last id before a checkpoint and its offset are void.
+Frames are written by Spark as a binary column of Parquet, so that a lost task's frames are never half there.
 """
 
 from __future__ import annotations
@@ -27,14 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunk_edges, chunk_of, discard, materialize
+from .common import Chunks, discard, map_arrow, materialize, slices, text_sizes
 from .token_counts import load
 
 MAGIC = b"LHF1"
 HEAD = struct.Struct("<4sIQQIII")
 INTERVAL = 64
 LONGEST_CODE = 18
-FRAME_IDS = 1 << 20
+#: Ids of a frame at most; a longer document has a frame of its own.
+FRAME_IDS = 1 << 17
+#: Ids of a file, about.
+FILE_IDS = 1 << 24
+#: Bytes of texts that are encoded at once.
+SLICE_BYTES = 1 << 19
 
 
 # --- Huffman ------------------------------------------------------------------------------------------
@@ -97,38 +102,48 @@ def decode_table(book: bytes) -> tuple[np.ndarray, int]:
 
 
 def pack_stream(ids: np.ndarray, book: bytes, interval: int) -> tuple[bytes, np.ndarray]:
-    """The bit stream of the ids, and the bit offset of every `interval`-th."""
+    """The bit stream of the ids, and the bit offset of every `interval`-th. Blocks of FRAME_IDS ids begin at a whole 32-bit word."""
     codes, lengths = coder(book)
-    if not len(ids):
-        return b"", np.zeros(0, dtype=np.uint32)
-    size = lengths[ids]
-    ends = np.cumsum(size)
-    at = ends - size
-    wide = codes[ids] << (64 - (at & 31) - size).astype(np.uint64)
-    word = at >> 5
-    first = np.flatnonzero(np.diff(word, prepend=-1))  # a code is shorter than 32 bits, so each word has a start
-    words = np.zeros(int(word[-1]) + 2, dtype=np.uint32)
-    words[:-1] = np.bitwise_or.reduceat((wide >> np.uint64(32)).astype(np.uint32), first)
-    low = (wide & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    over = np.flatnonzero(low)
-    words[word[over] + 1] |= low[over]
-    return words.astype(">u4").tobytes()[: int(ends[-1] + 7) // 8], at[::interval].astype(np.uint32)
+    stream, marks, before = [], [], 0
+    block = max(1, FRAME_IDS // interval) * interval
+    for first in range(0, len(ids), block):
+        own = ids[first : first + block]
+        size = lengths[own]
+        ends = np.cumsum(size)
+        at = ends - size
+        wide = codes[own] << (64 - (at & 31) - size).astype(np.uint64)
+        word = at >> 5
+        each = np.flatnonzero(np.diff(word, prepend=-1))  # a code is shorter than 32 bits, so each word has a start
+        words = np.zeros(int(word[-1]) + 2, dtype=np.uint32)
+        words[:-1] = np.bitwise_or.reduceat((wide >> np.uint64(32)).astype(np.uint32), each)
+        low = (wide & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        over = np.flatnonzero(low)
+        words[word[over] + 1] |= low[over]
+        stream.append(words[: -(-int(ends[-1]) // 32)].astype(">u4").tobytes())
+        marks.append((at[::interval] + 8 * before).astype(np.uint32))
+        before += len(stream[-1])
+        if before >= 1 << 29:
+            raise ValueError("a document of more than 512 MiB of coded ids doesn't fit a frame")
+    return b"".join(stream), np.concatenate(marks) if marks else np.zeros(0, dtype=np.uint32)
 
 
 def unpack_stream(payload: bytes, starts: np.ndarray, n: int, interval: int, book: bytes) -> np.ndarray:
-    """All ids of a stream: every checkpoint is a lane, and the lanes advance together."""
-    if not n:
-        return np.zeros(0, dtype=np.uint32)
+    """All ids of a stream: every checkpoint is a lane, and the lanes advance together, those of FRAME_IDS ids at once."""
     table, width = decode_table(book)
-    raw = np.frombuffer(payload + b"\0" * 8, dtype=np.uint8).astype(np.uint32)
-    window = (raw[:-3] << np.uint32(24)) | (raw[1:-2] << np.uint32(16)) | (raw[2:-1] << np.uint32(8)) | raw[3:]
-    at, last = starts.astype(np.int64), len(window) - 1
     out = np.empty((len(starts), interval), dtype=np.uint32)
-    shift = np.uint32(32 - width)
-    for k in range(interval):
-        found = table[(window[np.minimum(at >> 3, last)] << (at & 7).astype(np.uint32)) >> shift]
-        out[:, k] = found >> np.uint32(5)
-        at += found & np.uint32(31)
+    shift, lanes = np.uint32(32 - width), max(1, FRAME_IDS // interval)
+    for first in range(0, len(starts), lanes):
+        at = starts[first : first + lanes].astype(np.int64)
+        low = int(at[0]) >> 3
+        high = (int(starts[first + lanes]) >> 3) + 1 if first + lanes < len(starts) else len(payload)
+        raw = np.frombuffer(payload[low:high] + b"\0" * 8, dtype=np.uint8).astype(np.uint32)
+        window = (raw[:-3] << np.uint32(24)) | (raw[1:-2] << np.uint32(16)) | (raw[2:-1] << np.uint32(8)) | raw[3:]
+        at -= 8 * low
+        last = len(window) - 1
+        for k in range(interval):
+            found = table[(window[np.minimum(at >> 3, last)] << (at & 7).astype(np.uint32)) >> shift]
+            out[first : first + lanes, k] = found >> np.uint32(5)
+            at += found & np.uint32(31)
     return out.reshape(-1)[:n]
 
 
@@ -169,20 +184,23 @@ BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not
 
 
 class WordEncoder:
-    """Encodes whole texts by the library, each distinct word once until `room` words are known.
+    """Encodes whole texts by the library, each distinct word once until `room` words are known; then those of the last half are kept.
 
     Valid for tokenizers whose normalizer and pre-tokenizer never look across a space, ignore spaces, fold A-Z and
     end a run of letters at punctuation; `probe` checks that on strings where others differ, and if it fails
     whole texts are encoded. Words end at spaces, at line feeds and between an ASCII letter and one of
     PUNCTUATION (no apostrophe: contractions); other white space stays inside a word and is left to the library.
+    Words of more than LONGEST characters aren't kept, and long texts are taken in parts that end at spaces, so memory has a bound of its own.
     """
 
+    LONGEST = 48
+    PART = 1 << 20
     PROBE = ("a b", " a  b\nc ", "don't 's 12 3,4 !? é́ ́x <|endoftext|> y", "A\tB ÅÇ  z q", "THAT*** this,, (x) a.b,c!! ΑΣ Σ, İ, x<|endoftext|>", "re|x a|b |. 'd,'s it's, x'll", "ﬁ, Å, q%%% $$", "straße écoute ñandú þorn ÿ ŵ αβγ ω жук ÀÉÎ ǆ ǅ ª º µ 中文")
     PUNCTUATION = re.compile(r"(?<=[a-z])(?=[,.!?;:|*#$%&\")])")
     FOLD = {c: c + 32 for c in range(65, 91)}
 
-    def __init__(self, tokenizer, dtype: str, room: int = 400_000):
-        self.tokenizer, self.dtype, self.room, self.known = tokenizer, dtype, room, {"": b""}
+    def __init__(self, tokenizer, dtype: str, room: int = 200_000):
+        self.tokenizer, self.dtype, self.room, self.known, self.before = tokenizer, dtype, room, {"": b""}, {}
         self.code = "H" if np.dtype(dtype).itemsize == 2 else "I"
         self.by_word = self.by_model = True
         probe = list(self.PROBE)
@@ -191,6 +209,14 @@ class WordEncoder:
             self.by_word = self.encode(probe) == self.direct(probe)
         self.known = {"": b""}
 
+    def parts(self, text: str) -> Iterator[str]:
+        """The text cut at spaces into parts of about PART characters."""
+        at = 0
+        while (end := text.find(" ", at + self.PART)) != -1:
+            yield text[at:end]
+            at = end + 1
+        yield text[at:]
+
     def direct(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -221,14 +247,24 @@ class WordEncoder:
         return text.split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if any(len(t) > self.PART for t in texts):
+            return [b"".join(self.encode([p])[0] for p in self.parts(t)) if len(t) > self.PART else self.encode([t])[0] for t in texts]
         split = [self.words(t) for t in texts]
         every = set().union(*split)
-        new = list(every.difference(self.known))
-        if len(self.known) + len(new) > self.room:
-            self.known = {"": b""}
-            new = [x for x in every if x]
-        self.single(new)
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        new = every.difference(self.known)
+        if 2 * (len(self.known) + len(new)) > self.room:  # words in use move on, the others go at the next turn
+            self.before, self.known = self.known, {"": b""}
+            new = every.difference(self.known)
+        if self.before:
+            found = new.intersection(self.before)
+            self.known.update((w, self.before[w]) for w in found)
+            new -= found
+        self.single(list(new))
+        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
+        for w in new:
+            if len(w) > self.LONGEST:
+                del self.known[w]
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         return self.encode(texts) if self.by_word else self.direct(texts)
@@ -239,9 +275,8 @@ def word_encoder(path: str, dtype: str) -> WordEncoder:
     return WordEncoder(load(path), dtype)
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, dtype: str, id_col: str, text_col: str) -> DataFrame:
+def tokenize(docs: DataFrame, chunks: Chunks, tokenizer_path: str, end_id: int, dtype: str, id_col: str, text_col: str) -> DataFrame:
     """(chunk, doc_id, rel, n, ids): tokens of each document with the end id, in ascending doc_id order within each chunk; rel counts the chunk's ids before it."""
-    edges = chunk_edges(docs.select(id_col), id_col, 1_000)
     size = np.dtype(dtype).itemsize
     end = np.array([end_id], dtype=dtype).tobytes()
 
@@ -249,8 +284,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, dtype: str, id_c
         encode, chunk, rel = word_encoder(tokenizer_path, dtype), None, 0
         names = ["chunk", "doc_id", "rel", "n", "ids"]
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
+            for part in slices(batch, text_sizes(batch.column(2)), SLICE_BYTES):
                 own, rels, counts, ids = part.column(0).to_pylist(), [], [], []
                 for c, found in zip(own, encode([x or "" for x in part.column(2).to_pylist()]), strict=True):
                     if c != chunk:
@@ -262,41 +296,45 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, dtype: str, id_c
                     rel += counts[-1]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rels, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names)
 
-    rows = docs.select(chunk_of(id_col, edges).cast("int").alias("chunk"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartition("chunk").sortWithinPartitions("chunk", "doc_id", F.xxhash64("text"))
-    return rows.mapInArrow(run, "chunk int, doc_id long, rel long, n long, ids binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = rows.select(chunks.of(F.col("doc_id"), F.col("tie")).alias("chunk"), "doc_id", "text", "tie")
+    rows = rows.repartition("chunk").sortWithinPartitions("chunk", "doc_id", "tie").select("chunk", "doc_id", "text")
+    return map_arrow(rows, run, "chunk int, doc_id long, rel long, n long, ids binary")
 
 
 # --- files --------------------------------------------------------------------------------------------
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer_path: str = "word_bpe_49k.json", end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encodes every whole text and writes the files under `path` (a folder that Spark can write).
+def write_ids(
+    docs: DataFrame, path: str, tokenizer_path: str = "word_bpe_49k.json", end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS,
+) -> None:
+    """Encodes every whole text and writes the files under `path` (a folder that Spark can write), about `file_ids` ids each.
 
     Null and empty texts have the end id alone. Rows of the same id lie together, in the order of a hash of
     their texts. An empty table gives an empty codebook and no frames. Null ids come first. Further columns
     aren't read. Ids are made once and kept in the shared folder between counting and coding; counts come
-    from all of them. The driver holds one count per vocabulary entry and one per chunk (65,536 at most).
+    from all of them. The driver holds one count per vocabulary entry and one per chunk (65,536 of each kind at most).
     """
     spark = docs.sparkSession
     vocab = max(load(tokenizer_path).get_vocab_size(with_added_tokens=True), end_id + 1)
     dtype = "<u2" if vocab <= 1 << 16 else "<u4"
-    tokens = materialize(tokenize(docs, tokenizer_path, end_id, dtype, id_col, text_col), "ids")
+    chunks = Chunks(docs.select(id_col), id_col, 1_000)
+    tokens = materialize(tokenize(docs, chunks, tokenizer_path, end_id, dtype, id_col, text_col), "ids")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocab, dtype=np.int64)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                total += np.bincount(np.frombuffer(b"".join(batch.column(0).slice(k, 256).to_pylist()), dtype=dtype), minlength=vocab)
+            for part in slices(batch, text_sizes(batch.column(0)), SLICE_BYTES):
+                total += np.bincount(np.frombuffer(b"".join(part.column(0).to_pylist()), dtype=dtype), minlength=vocab)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
     counts = np.zeros(vocab, dtype=np.int64)
-    for r in tokens.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in map_arrow(tokens.select("ids"), count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["id"]] = r["n"]
     book = code_lengths(counts).tobytes()
     base, total = {}, 0
-    for r in tokens.groupBy("chunk").agg(F.sum("n").alias("n")).orderBy("chunk").collect():
+    for r in tokens.groupBy("chunk").agg(F.sum("n").alias("n")).orderBy("chunk").toLocalIterator():
         base[r["chunk"]] = total
         total += r["n"]
     starts = spark.createDataFrame(list(base.items()), "chunk int, base long") if base else None
@@ -315,15 +353,16 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str = "word_bpe_49k.js
             return made
 
         for batch in batches:
-            for key, start, n, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if keys and (held + n > FRAME_IDS or start != first + held):  # files that don't follow one another can be read by one task
-                    yield flush()
-                if not keys:
-                    first, held = start, 0
-                keys.append(key)
-                sizes.append(n)
-                ids.append(found)
-                held += n
+            for part in slices(batch, text_sizes(batch.column(3)), SLICE_BYTES):
+                for key, start, n, found in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if keys and (held + n > FRAME_IDS or start != first + held):  # files that don't follow one another can be read by one task
+                        yield flush()
+                    if not keys:
+                        first, held = start, 0
+                    keys.append(key)
+                    sizes.append(n)
+                    ids.append(found)
+                    held += n
         if keys:
             yield flush()
 
@@ -331,7 +370,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str = "word_bpe_49k.js
     if starts is None:
         made = spark.createDataFrame([], schema)
     else:
-        made = tokens.join(F.broadcast(starts), "chunk").select("doc_id", (F.col("base") + F.col("rel")).alias("start"), "n", "ids").mapInArrow(frames, schema)  # base: 65,536 rows at most
+        placed = tokens.join(F.broadcast(starts), "chunk").select("doc_id", (F.col("base") + F.col("rel")).alias("start"), "n", "ids")  # starts: a row per chunk
+        files = -(-total // file_ids)
+        made = map_arrow(placed, frames, schema).withColumn("file", F.floor(F.col("start") / file_ids).cast("int"))
+        made = made.repartitionById(files, "file").sortWithinPartitions("start").drop("file")
     made.write.option("compression", "uncompressed").parquet(f"{path}/frames")
     spark.createDataFrame([(bytearray(book),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
     discard(tokens)
@@ -342,17 +384,15 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
     book = bytes(spark.read.schema("lengths binary").parquet(f"{path}/codebook").first()["lengths"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "start", "n_tokens", "ids_crc32"]
         for batch in batches:
             for frame in batch.column(0):
                 keys, counts, before, ids = read_frame(frame.as_py(), book)
-                raw = memoryview(ids.astype("<u4").tobytes())
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
                 ends = np.cumsum(counts)
                 own = [raw[4 * int(e - n) : 4 * int(e)] for e, n in zip(ends, counts, strict=True)]
                 columns = [pa.array(keys, pa.int64()), pa.array(before + ends - counts, pa.int64()), pa.array(counts, pa.int64()), pa.array([zlib.crc32(x) for x in own], pa.int64())]
-                names = ["doc_id", "start", "n_tokens", "ids_crc32"]
-                if with_ids:
-                    columns, names = [*columns, pa.array([bytes(x) for x in own], pa.binary())], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([bytes(x) for x in own], pa.binary())] if with_ids else columns, [*names, "ids"] if with_ids else names)
 
     frames = spark.read.schema("start long, n_docs int, n_ids long, frame binary").parquet(f"{path}/frames")
-    return frames.select("frame").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return map_arrow(frames.select("frame"), run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)

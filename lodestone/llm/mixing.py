@@ -13,16 +13,17 @@ from dataclasses import dataclass
 from fractions import Fraction
 from math import gcd
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, chunk_edges, chunk_of, materialize
+from .common import WORD, Chunks, materialize
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 BLOCK = 8
 SHARDS = 16
-MOST_SOURCES = 100_000
+#: Rows of a chunk: sums of words run within one, and over the chunks of a source.
+CHUNK = 1_000
 
 
 def word_count(text: Column) -> Column:
@@ -113,23 +114,27 @@ def picks(quota: Quota, block: int) -> bool:
     return shards > 0 and (quota.step[j] * i + quota.shift[j]) % max(quota.blocks[j], 1) < quota.picked[j]
 
 
-def positions(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, list]:
-    """Each row's words and place in its source's stream, and the sources' sizes in order (driver: one row per source)."""
-    edges = chunk_edges(docs.select(id_col), id_col, 20_000)
-    named = [c for c in docs.columns if c in (id_col, source_col)]
-    sized = docs.select(*named, word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie"), chunk_of(id_col, edges).cast("int").alias("chunk"))
-    sized = materialize(sized, "sizes")
-    by_chunk = sized.groupBy(source_col, "chunk").agg(F.sum("size").alias("n"))
-    sources = by_chunk.groupBy(source_col).agg(F.sum("n").alias("n")).orderBy(F.col(source_col).asc_nulls_last()).limit(MOST_SOURCES + 1).collect()
-    if len(sources) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    base = by_chunk.selectExpr(f"`{source_col}` AS s", "chunk AS c", f"coalesce(sum(n) OVER (PARTITION BY `{source_col}` ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base")
-    placed = sized.selectExpr("*", f"sum(size) OVER (PARTITION BY `{source_col}`, chunk ORDER BY `{id_col}`, tie ROWS UNBOUNDED PRECEDING) - size AS rel")
-    placed = placed.join(base, placed[source_col].eqNullSafe(base["s"]) & (placed["chunk"] == base["c"])).select(*named, "size", "tie", (F.col("base") + F.col("rel")).alias("at"))
-    return placed, [(r[0], r["n"]) for r in sources]
+def source_key(source: Column) -> Column:
+    """A name of a source that isn't null."""
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("null"))
 
 
-QUOTA_TYPE = "k int, source string, source_size long, target double, whole int, blocks array<bigint>, picked array<bigint>, step array<bigint>, shift array<bigint>"
+def positions(sized: DataFrame) -> tuple[DataFrame, list]:
+    """(sized rows with `at`, sources with their sizes in order) of rows with row_id, row_source, key (source_key()), size, tie and chunk.
+
+    at: words of the source before the row, in the order of (id, tie). The driver holds one row per source.
+    """
+    by_chunk = sized.groupBy("row_source", "key", "chunk").agg(F.sum("size").alias("n"))
+    by_chunk = materialize(by_chunk, "by_chunk")
+    sources = by_chunk.groupBy("row_source").agg(F.sum("n").alias("n")).orderBy(F.col("row_source").asc_nulls_last()).collect()
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    base = by_chunk.select("key", "chunk", before.alias("base"))
+    rel = F.sum("size").over(Window.partitionBy("key", "chunk").orderBy("row_id", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+    placed = sized.withColumn("rel", rel).join(base, ["key", "chunk"])
+    return placed.withColumn("at", F.col("base") + F.col("rel")).drop("rel", "base"), [(r[0], r[1]) for r in sources]
+
+
+QUOTA_TYPE = "source string, source_size long, target double, whole int, blocks array<bigint>, picked array<bigint>, step array<bigint>, shift array<bigint>"
 
 
 def block_words(block: Column, at: Column, size: Column, width: int) -> Column:
@@ -150,45 +155,58 @@ def picked_blocks(width: int, shards: int) -> Column:
     return F.filter(every, chosen)
 
 
+def _taken(docs: DataFrame, rows: DataFrame, weights: tuple[int, ...], block: int, shards: int, seed: int) -> DataFrame:
+    """rows (of positions()) with the quota of their source, and `picked_at`: the numbers of the picked blocks a row reaches into."""
+    placed, sources = positions(rows)
+    quotas = plan([n for _, n in sources], block, shards, seed, weights)
+    made = [(s if s is None else str(s), q.size, float(q.target), q.whole, q.blocks, q.picked, q.step, q.shift) for (s, _), q in zip(sources, quotas, strict=True)]
+    table = docs.sparkSession.createDataFrame(made, QUOTA_TYPE).select(source_key(F.col("source")).alias("key"), "source_size", "target", "whole", "blocks", "picked", "step", "shift")
+    shards = len(quotas[0].blocks) if quotas else shards
+    if len(made) * (4 * shards + 10) * 8 < 8 << 20:
+        table = F.broadcast(table)
+    return placed.join(table, "key").withColumn("picked_at", picked_blocks(block, shards))
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    chunks = Chunks(docs.select(id_col), id_col, CHUNK)
+    source = F.col(source_col)
+    rows = docs.select(F.col(id_col).alias("row_id"), source.alias("row_source"), source_key(source).alias("key"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie"), *more)
+    return rows.withColumn("chunk", chunks.of(F.col("row_id"), F.col("tie")))
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, shards: int = SHARDS, seed: int = 17,
 ) -> DataFrame:
-    """(id, source, size, source_size, target, taken, whole, picked_at, tie) of each row.
+    """(id, source, size, source_size, target, taken, whole, at, picked_at) of each row.
 
     size: words; taken: words the mix takes, repeats counted: `whole` times all of them and once more those
     in the picked blocks (`picked_at`: their numbers, `at`: the row's place in its source's stream).
     Sources in code point order, null last, have the weights in turn. Rows without words take none; ties of the id
-    are put in order by a hash of the text, equal rows are interchangeable; an empty table gives no rows.
+    are put in order by a hash of the text, equal rows are interchangeable, null ids come first; an empty table gives no rows; further columns aren't read.
     Same input and seed, same mix. The driver holds one row per source and one cut point per chunk.
     """
-    spark = docs.sparkSession
-    placed, sources = positions(docs, id_col, text_col, source_col)
-    quotas = plan([n for _, n in sources], block, shards, seed, weights)
-    rows = [(k, s, q.size, float(q.target), q.whole, q.blocks, q.picked, q.step, q.shift) for k, ((s, _), q) in enumerate(zip(sources, quotas, strict=True))]
-    table = spark.createDataFrame(rows, QUOTA_TYPE).withColumnRenamed("source", "quota_source")
-    shards = len(quotas[0].blocks) if quotas else shards
-    if len(rows) * (4 * shards + 10) * 8 < 8 << 20:
-        table = F.broadcast(table)
-    chosen = placed.join(table, F.col(source_col).eqNullSafe(F.col("quota_source"))).withColumn("picked_at", picked_blocks(block, shards))
+    chosen = _taken(docs, materialize(_sized(docs, id_col, text_col, source_col), "sizes"), weights, block, shards, seed)
     extra = F.aggregate("picked_at", F.lit(0).cast("long"), lambda s, b: s + block_words(b, F.col("at"), F.col("size"), block))
-    return chosen.select(id_col, source_col, "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).alias("taken"), "whole", "at", "picked_at", "tie")
+    return chosen.select(F.col("row_id").alias(id_col), F.col("row_source").alias(source_col), "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).alias("taken"), "whole", "at", "picked_at")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", block: int = 1024, **options) -> DataFrame:
+def mixed(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars",
+    weights: tuple[int, ...] = WEIGHTS, block: int = 1024, shards: int = SHARDS, seed: int = 17,
+) -> DataFrame:
     """The mix itself, with the columns of `docs`: every row as often as it is taken whole, and once more the words of its picked blocks.
 
     Words of a part are joined by single spaces. A row of which nothing is taken goes; rows without words go, as they add nothing
-    to any source. Rows alike in id and text are taken alike. `chars_col`, where the table has it, counts the text given out.
+    to any source. Repeated rows are taken each by its own place. `chars_col`, where the table has it, counts the text given out.
+    Rows are shuffled once, by source and chunk, and carry their columns along.
     """
-    taken = mix(docs, id_col, text_col, source_col, block=block, **options)
-    taken = taken.groupBy(F.col(id_col).alias("mix_id"), F.col("tie").alias("mix_tie")).agg(F.min_by(F.struct("whole", "at", "size", "picked_at"), "at").alias("mix_taken"))
-    tied = docs.withColumn("mix_own", F.xxhash64(text_col))
-    rows = tied.join(taken, tied[id_col].eqNullSafe(F.col("mix_id")) & (F.col("mix_own") == F.col("mix_tie")))
-    t = F.col("mix_taken")
-    words = F.filter(F.split(F.col(text_col), r"[ \x09-\x0D]+"), lambda w: w != "")
-    parts = F.transform(t["picked_at"], lambda b: F.slice(words, (F.greatest(b * block - t["at"], F.lit(0).cast("long")) + 1).cast("int"), block_words(b, t["at"], t["size"], block).cast("int")))
-    part = F.when(F.size(t["picked_at"]) > 0, F.array(F.array_join(F.flatten(parts), " "))).otherwise(F.array().cast("array<string>"))
-    every = F.concat(F.when(t["size"] > 0, F.array_repeat(F.col(text_col), t["whole"])).otherwise(F.array().cast("array<string>")), part)
-    given = rows.withColumn("mix_text", F.explode(every))
-    columns = {text_col: F.col("mix_text")} | ({chars_col: F.length("mix_text").cast(docs.schema[chars_col].dataType)} if chars_col in docs.columns else {})
-    return given.select(*[columns[c].alias(c) if c in columns else tied[c] for c in docs.columns])
+    chosen = _taken(docs, _sized(docs, id_col, text_col, source_col, F.struct(*docs.columns).alias("row")), weights, block, shards, seed)
+    text = F.col("row")[text_col]
+    words = F.filter(F.split(text, r"[ \x09-\x0D]+"), lambda w: w != "")
+    parts = F.transform("picked_at", lambda b: F.slice(words, (F.greatest(b * block - F.col("at"), F.lit(0).cast("long")) + 1).cast("int"), block_words(b, F.col("at"), F.col("size"), block).cast("int")))
+    none = F.array().cast("array<string>")
+    part = F.when(F.size("picked_at") > 0, F.array(F.array_join(F.flatten(parts), " "))).otherwise(none)
+    every = F.concat(F.when(F.col("size") > 0, F.array_repeat(text, F.col("whole"))).otherwise(none), part)
+    given = chosen.select("row", F.explode(every).alias("given"))
+    columns = {text_col: F.col("given")} | ({chars_col: F.length("given").cast(docs.schema[chars_col].dataType)} if chars_col in docs.columns else {})
+    return given.select(*[columns.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

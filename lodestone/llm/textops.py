@@ -13,12 +13,13 @@ import numpy as np
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_MASK = (1 << 64) - 1
+_WORD = np.ones(256, dtype=np.uint8)
+_WORD[[9, 10, 11, 12, 13, 32]] = 0
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Texts above this many bytes are hashed in pieces cut at white space.
-PIECE = 1 << 20
+#: Buffers are hashed in pieces of this many bytes.
+PIECE = 1 << 18
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -34,66 +35,67 @@ def _byte_values() -> np.ndarray:
     return mix(np.arange(256, dtype=U64), 7)
 
 
-_POWERS = [np.ones(1, dtype=U64), np.ones(1, dtype=U64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 ** 64, at least `n` of each."""
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, dtype=U64)
-            steps[0] = 1
-            _POWERS[k] = np.multiply.accumulate(steps)
-    return _POWERS[0], _POWERS[1]
-
-
-def hash_words(data: bytes, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of every word of a buffer."""
-    raw = np.frombuffer(data, dtype=np.uint8)
-    gap = np.ones(len(raw) + 2, dtype=bool)
-    gap[1:-1] = _SPACE[raw]
-    change = np.flatnonzero(gap[1:] != gap[:-1])
-    start, end = change[::2], change[1::2]
-    power, inverse = _powers(len(raw) + 1)
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64, for places 0 to PIECE."""
+    found = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(PIECE + 1, base, dtype=U64)
+        steps[0] = 1
+        found.append(np.multiply.accumulate(steps))
+    return found[0], found[1]
+
+
+def run_sums(raw: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(polynomial sum of the bytes, A-Z as a-z, start, end) of each longest run of one kind other than 0; at most PIECE bytes."""
+    inner = kind != 0
+    edge = np.empty(len(raw) + 1, dtype=bool)
+    edge[0] = edge[-1] = True
+    np.not_equal(kind[1:], kind[:-1], out=edge[1:-1])
+    start, end = np.flatnonzero(edge[:-1] & inner), np.flatnonzero(edge[1:] & inner) + 1
+    power, inverse = _powers()
     sums = np.zeros(len(raw) + 1, dtype=U64)
-    np.cumsum(_byte_values()[_LOWER[raw] if fold else raw] * power[: len(raw)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * inverse[start], 1), start
+    np.cumsum(_byte_values()[_LOWER[raw]] * power[: len(raw)], out=sums[1:])
+    return (sums[end] - sums[start]) * inverse[start], start, end
+
+
+def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of every word of a buffer. It is walked in pieces; a word that crosses their ends is put together again."""
+    found, starts = [], []
+    held, room = 0, 0  # sum and bytes of a word that the piece before has begun
+    for at in range(0, len(data), PIECE):
+        raw = np.frombuffer(data, dtype=np.uint8, count=min(PIECE, len(data) - at), offset=at)
+        sums, start, end = run_sums(raw, _WORD[raw])
+        whole = at + len(raw) == len(data)
+        if room:
+            if len(start) and start[0] == 0:
+                sums[0] = (held + pow(_BASE, room, 1 << 64) * int(sums[0])) & _MASK
+                first = at - room
+                if end[0] == len(raw) and not whole:  # the piece is all inside of the word
+                    held, room = int(sums[0]), room + len(raw)
+                    continue
+                starts.append(np.array([first], dtype=np.int64))
+                found.append(sums[:1])
+                sums, start, end = sums[1:], start[1:], end[1:]
+            else:
+                starts.append(np.array([at - room], dtype=np.int64))
+                found.append(np.array([held], dtype=U64))
+            held = room = 0
+        if len(end) and end[-1] == len(raw) and not whole:
+            held, room = int(sums[-1]), int(end[-1] - start[-1])
+            sums, start = sums[:-1], start[:-1]
+        found.append(sums)
+        starts.append(start + at)
+    if not found:
+        return np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
+    return mix(np.concatenate(found), 1), np.concatenate(starts)
 
 
 def text_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words, number of words of each text)."""
-    found, counts = [], np.zeros(len(texts), dtype=np.int64)
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= PIECE):
-            size += len(texts[end]) + 1
-            end += 1
-        if end == at + 1 and size > PIECE:
-            for piece in pieces(texts[at]):
-                hashes, _ = hash_words(piece)
-                found.append(hashes)
-                counts[at] += len(hashes)
-        else:
-            hashes, starts = hash_words(b" ".join(texts[at:end]))
-            edges = np.cumsum([0] + [len(x) + 1 for x in texts[at:end]])
-            counts[at:end] = np.diff(np.searchsorted(starts, edges))
-            found.append(hashes)
-        at = end
-    return (np.concatenate(found) if found else np.zeros(0, dtype=U64)), counts
-
-
-def pieces(text: bytes) -> list[bytes]:
-    """A long text cut at white space into pieces of about PIECE bytes (longer where a word is longer)."""
-    out, at = [], 0
-    while at < len(text):
-        cut = at + PIECE
-        while cut < len(text) and not _SPACE[text[cut]]:
-            cut += 1
-        out.append(text[at:cut])
-        at = cut
-    return out
+    hashes, starts = hash_words(b" ".join(texts))
+    edges = np.cumsum([0] + [len(x) + 1 for x in texts])
+    return hashes, np.diff(np.searchsorted(starts, edges))
 
 
 def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:

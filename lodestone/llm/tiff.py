@@ -2,7 +2,8 @@
 
 `read_pages` walks the chain of image directories and decodes strips or tiles stored raw or by PackBits, LZW
 or deflate, undoes horizontal prediction, and gives one row per page. `write_pages` makes multi-page files.
-`store_payload` / `load_payload` keep arbitrary bytes losslessly as 8-bit grey samples, 64 to a row.
+`store_payload` / `load_payload` keep arbitrary bytes losslessly as 8-bit grey samples, 64 to a row; a payload's checksum
+says in which of the layouts (compression, strips or tiles, prediction, byte order), so that a corpus has files of all of them.
 
 Layout and code points follow the public TIFF 6.0 specification.
 """
@@ -10,6 +11,7 @@ Layout and code points follow the public TIFF 6.0 specification.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -19,6 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .common import free_name, map_arrow, slices, text_sizes, texts_of
 
 # Fixed values of the format: tags, field sizes by type, compression codes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -51,22 +57,25 @@ def unpack_bits(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+RUN = re.compile(rb"(.)\1{2,}", re.S)
+
+
 def pack_bits(data: bytes) -> bytes:
-    out, at, n = bytearray(), 0, len(data)
-    while at < n:
-        run = 1
-        while run < 128 and at + run < n and data[at + run] == data[at]:
-            run += 1
-        if run > 2:
-            out += bytes((257 - run, data[at]))
-            at += run
-            continue
-        end = at
-        while end < n and end - at < 128 and not (end + 2 < n and data[end] == data[end + 1] == data[end + 2]):
-            end += 1
-        out.append(end - at - 1)
-        out += data[at:end]
-        at = end
+    """Runs of three bytes or more as runs, all else as literals."""
+    out, at = bytearray(), 0
+
+    def literals(end: int) -> None:
+        for k in range(at, end, 128):
+            part = data[k : min(end, k + 128)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for m in RUN.finditer(data):
+        literals(m.start())
+        at = m.end()
+        for k in range(m.start(), at, 128):
+            out += bytes(((257 - min(128, at - k)) & 255, data[k]))  # a rest of one byte has code 0, a literal
+    literals(len(data))
     return bytes(out)
 
 
@@ -151,7 +160,7 @@ def decompress(data: bytes, kind: int, size: int) -> bytes:
         return lzw_decode(data, size)
     if kind in (DEFLATE, OLD_DEFLATE):
         try:
-            return zlib.decompress(data)
+            return zlib.decompressobj().decompress(data, max(1, size))  # no more than the strip can hold
         except zlib.error as e:
             raise TiffError(f"deflate: {e}") from e
     raise TiffError(f"compression {kind} isn't supported")
@@ -185,7 +194,7 @@ def _fields(data: bytes, order: str, at: int) -> tuple[dict[int, list], int]:
     found: dict[int, list] = {}
     for k in range(n):
         tag, kind, count = struct.unpack_from(f"{order}HHI", data, at + 2 + 12 * k)
-        if kind not in FIELD_CODE:
+        if kind not in FIELD_CODE or not count:
             continue
         room = FIELD_BYTES[kind] * count
         place = at + 10 + 12 * k
@@ -205,11 +214,27 @@ def _segment(data: bytes, order: str, f: dict, place: int, room: int, height: in
     if len(raw) < size:
         raise TiffError("image data too short")
     grid = np.frombuffer(raw, dtype=f"{order}u{bits // 8}", count=height * width * samples).reshape(height, width, samples)
-    if f.get(PREDICTOR, [1])[0] == 2:  # each sample was stored as its difference from the left neighbour
+    predictor = f.get(PREDICTOR, [1])[0]
+    if predictor == 2:  # each sample was stored as its difference from the left neighbour
         grid = np.cumsum(grid, axis=1, dtype=grid.dtype.newbyteorder("="))
+    elif predictor != 1:
+        raise TiffError(f"predictor {predictor} isn't supported")
     return grid
 
 
+#: Bytes of samples that a compressed byte can stand for at most, by compression: a header that claims more is damaged.
+MOST_GROWTH = {RAW: 1, PACKBITS: 64, LZW: 4096, DEFLATE: 1100, OLD_DEFLATE: 1100}
+
+
+def _plausible(f: dict, sizes: list[int], cells: int, cell_bytes: int) -> None:
+    """Raises where the strips or tiles can't fill the page, so that no memory is taken on a damaged header's word."""
+    growth = MOST_GROWTH.get(f.get(COMPRESSION, [RAW])[0])
+    if growth is None:
+        raise TiffError(f"compression {f[COMPRESSION][0]} isn't supported")
+    if cells * cell_bytes > growth * sum(sizes) + cell_bytes and cells * cell_bytes > 1 << 16:
+        raise TiffError("the image data can't fill a page of this size")
+
+
 def read_pages(data: bytes) -> Iterator[Page]:
     """Every page of a file in directory order. Raises TiffError on what it can't decode."""
     order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
@@ -230,16 +255,21 @@ def read_pages(data: bytes) -> Iterator[Page]:
             raise TiffError(f"{f.get(BITS)} bits a sample aren't supported")
         planes = samples if f.get(PLANAR, [1])[0] == 2 else 1
         inner = samples // planes
-        pixels = np.zeros((height, width, samples), dtype=f"u{bits // 8}")
+        if not (width > 0 and height > 0 and samples > 0):
+            raise TiffError("page without samples")
         tiled = TILE_OFFSETS in f
         if tiled:
+            if any(not f.get(t, [0])[0] > 0 for t in (TILE_WIDTH, TILE_HEIGHT)):
+                raise TiffError("tiles without a size")
             tw, th = f[TILE_WIDTH][0], f[TILE_HEIGHT][0]
         else:
             tw, th = width, min(height, f.get(ROWS_PER_STRIP, [height])[0]) or 1
         across, down = -(-width // tw), -(-height // th)
-        places, rooms = (f[TILE_OFFSETS], f[TILE_BYTES]) if tiled else (f.get(STRIP_OFFSETS, []), f.get(STRIP_BYTES, []))
+        places, rooms = (f[TILE_OFFSETS], f.get(TILE_BYTES, [])) if tiled else (f.get(STRIP_OFFSETS, []), f.get(STRIP_BYTES, []))
         if len(places) < across * down * planes or len(rooms) < len(places):
             raise TiffError("too few strips or tiles")
+        _plausible(f, rooms, across * down * planes, tw * min(th, height) * inner * bits // 8)
+        pixels = np.zeros((height, width, samples), dtype=f"u{bits // 8}")
         for k in range(across * down * planes):
             plane, cell = divmod(k, across * down)
             y, x = cell // across * th, cell % across * tw
@@ -306,14 +336,24 @@ ROW = 64
 PAGE_ROWS = 16_384
 
 
+#: Layouts of stored payloads: (compression, predictor, tile, byte order).
+LAYOUTS = (
+    (DEFLATE, 1, None, "<"), (LZW, 1, None, "<"), (PACKBITS, 1, None, ">"), (DEFLATE, 2, None, ">"), (LZW, 2, (64, 64), "<"), (PACKBITS, 2, (128, 32), "<"), (DEFLATE, 1, (256, 32), "<"), (RAW, 1, (64, 32), ">"),
+)
+
+
 def store_payload(payload: bytes) -> bytes:
-    """A payload whose size is a positive multiple of 64, as pages of 64 samples a row and 16,384 rows at most."""
+    """A payload whose size is a positive multiple of 64, as pages of 64 samples a row and 16,384 rows at most; equal payloads, equal files."""
     grid = np.frombuffer(payload, dtype=np.uint8).reshape(-1, ROW)
-    return write_pages([grid[k : k + PAGE_ROWS] for k in range(0, len(grid), PAGE_ROWS)])
+    compression, predictor, tile, order = LAYOUTS[zlib.crc32(payload) % len(LAYOUTS)]
+    return write_pages([grid[k : k + PAGE_ROWS] for k in range(0, len(grid), PAGE_ROWS)], compression, predictor, tile=tile, order=order)
 
 
 def load_payload(stored: bytes) -> tuple[bytes, list[Page]]:
+    """(payload, pages) of a file that store_payload() made."""
     pages = list(read_pages(stored))
+    if not pages:
+        raise TiffError("a file without pages")
     return b"".join(p.pixels.tobytes() for p in pages), pages
 
 
@@ -330,75 +370,85 @@ def features(payload: bytes, pages: list[Page]) -> str:
 
 # --- DataFrames ---------------------------------------------------------------------------------------
 
+#: Bytes of texts or files that are taken up at once (a larger one alone).
+SLICE_BYTES = 1 << 21
+
 
 def texts_to_tiff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, media): each text as one TIFF file. Null and empty texts become 64 zero samples."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    """(id, n_bytes, media): each text as one TIFF file. Null and empty texts become 64 zero samples; repeated rows each have a file; an empty table gives none."""
+    out = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("n_bytes long, media binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array([store_payload(padded(x)) for x in texts], pa.binary())], ["id", "n_bytes", "media"])
+        for whole in batches:
+            for batch in slices(whole, text_sizes(whole.column(1)), SLICE_BYTES):
+                texts = texts_of(batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array([store_payload(padded(x)) for x in texts], pa.binary())], ["id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, out).withColumnRenamed("id", id_col)
 
 
-def small(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut to about `size` bytes, whatever Arrow's row count."""
-    for batch in batches:
-        step = max(1, batch.num_rows * size // max(size, batch.nbytes))
-        for k in range(0, batch.num_rows, step):
-            yield batch.slice(k, step)
+PAGE_SCHEMA = "page int, width int, height int, samples int, bits int, compression int, predictor int, pixels binary, error string"
+FAULTS = (TiffError, struct.error, ValueError, KeyError, IndexError, OverflowError)
 
 
-PAGE_SCHEMA = "page int, width int, height int, samples int, bits int, compression int, predictor int, pixels binary, error string"
+def _rows(media: DataFrame, id_col: str, media_cols: list[str], schema: str, make) -> DataFrame:
+    """Rows that `make` gives for the values of each file's columns, the bytes last, behind the file's id."""
+    own = T.StructType.fromDDL(schema)
+    key = free_name(own.names, "id")
+    out = T.StructType([T.StructField(key, media.schema[id_col].dataType), *own.fields])
+    arrow = [to_arrow_type(f.dataType) for f in own.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, text_sizes(whole.columns[-1]), SLICE_BYTES):
+                rows, of = [], []
+                for i in range(batch.num_rows):
+                    found = make(*(c[i].as_py() for c in batch.columns[1:]))
+                    rows += found
+                    of += [i] * len(found)
+                if rows:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *columns], out.names)
+
+    return map_arrow(media.select(F.col(id_col).alias(key), *media_cols), run, out).withColumnRenamed(key, id_col)
 
 
 def explode_pages(media: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
     """One row per page of each file: id, sizes, codes, and the samples row by row, little-endian.
 
     Null bytes give no row. A file that can't be decoded gives the pages before the fault and one row whose
-    `error` says why; the job goes on.
+    `error` says why; the job goes on. Ids may be of any type, and null or repeated; further columns aren't read.
     """
-    kind = media.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = []
-                try:
-                    for p in read_pages(data) if data is not None else ():
-                        rows.append((key, p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.pixels.astype(p.pixels.dtype.newbyteorder("<")).tobytes(), None))
-                except (TiffError, struct.error, ValueError, KeyError) as e:
-                    rows.append((key, len(rows), None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-    names = ["id", *(x.split()[0] for x in PAGE_SCHEMA.split(", "))]
-    types = [batch_type(kind), *[pa.int32()] * 7, pa.binary(), pa.string()]
-    return media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(run, f"id {kind}, {PAGE_SCHEMA}").withColumnRenamed("id", id_col)
 
+    def make(data: bytes | None) -> list[tuple]:
+        rows: list[tuple] = []
+        try:
+            for p in read_pages(data) if data is not None else ():
+                rows.append((p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.pixels.astype(p.pixels.dtype.newbyteorder("<")).tobytes(), None))
+        except FAULTS as e:
+            rows.append((len(rows), *[None] * 7, f"{type(e).__name__}: {e}"))
+        return rows
 
-def batch_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    return _rows(media, id_col, [media_col], PAGE_SCHEMA, make)
 
 
 DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def media_digest(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Reads stored texts back from their TIFF bytes: one row of digests and features per file."""
-    kind = media.schema[id_col].dataType.simpleString()
-    names = ["id", *(x.split()[0] for x in DIGEST.split(", "))]
-    types = [batch_type(kind), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    """Reads stored texts back from their TIFF bytes: one row of digests and features per file.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            rows = []
-            for key, n, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                payload, pages = load_payload(data)
-                rows.append((key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(data), hashlib.sha256(data).hexdigest(), features(payload, pages)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-    return media.select(F.col(id_col).alias("id"), "n_bytes", "media").mapInArrow(run, f"id {kind}, {DIGEST}").withColumnRenamed("id", id_col)
+    A file that can't be decoded has null digests, and `error=` with the reason as its feature; null bytes have null media digests, too.
+    """
+
+    def make(n: int | None, data: bytes | None) -> list[tuple]:
+        try:
+            if data is None:
+                raise TiffError("no bytes")
+            payload, pages = load_payload(data)
+            own = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:])), features(payload, pages)
+        except FAULTS as e:
+            own = (None, None, None), f"error={e}"
+        return [(n, *own[0], None if data is None else len(data), None if data is None else hashlib.sha256(data).hexdigest(), own[1])]
+
+    return _rows(media, id_col, ["n_bytes", "media"], DIGEST, make)

@@ -1,8 +1,8 @@
 """Token counts (9): batch encoding in Arrow functions that return lengths only.
 
 Batches are balanced by bytes, not by rows, and a long text is split at places where the pre-tokenizer
-always splits too, so that the parts' counts add up to the whole text's. Memory a worker needs is bound
-by `batch_bytes`, not by the longest text or the Arrow batch.
+always splits too, so that the parts' counts add up to the whole text's. What a worker needs beside the one text at hand is
+bound by `batch_bytes`, not by the longest text or the Arrow batch. (A text without any place to split goes to the library whole.)
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow, slices
+
 BATCH_BYTES = 256 * 1024
 PART_CHARS = 64 * 1024
 
@@ -66,6 +68,7 @@ def split_safely(text: str, size: int) -> list[str]:
 
 
 def count_batch(tokenizer, texts: list[str], batch_bytes: int, part_chars: int, splittable: bool) -> list[int]:
+    """Tokens of each text; the library gets `batch_bytes` bytes at a time (or one part, where that has more)."""
     counts, queue, owner, held = [0] * len(texts), [], [], 0
 
     def flush() -> None:
@@ -76,12 +79,13 @@ def count_batch(tokenizer, texts: list[str], batch_bytes: int, part_chars: int,
 
     for i, text in enumerate(texts):
         for part in split_safely(text, part_chars) if splittable and len(text) > part_chars else [text]:
-            if queue and held + len(part) > batch_bytes:
+            size = len(part) if part.isascii() else len(part.encode())
+            if queue and held + size > batch_bytes:
                 flush()
                 held = 0
             queue.append(part)
             owner.append(i)
-            held += len(part)
+            held += size
     if queue:
         flush()
     return counts
@@ -102,11 +106,12 @@ def count_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(tokenizer_path)
-        for batch in batches:
-            counts = count_batch(tokenizer, [x or "" for x in batch.column(2).to_pylist()], batch_bytes, part_chars, splittable)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
+        for whole in batches:
+            for batch in slices(whole, whole.column(1).to_pylist(), batch_bytes):
+                counts = count_batch(tokenizer, [x or "" for x in batch.column(2).to_pylist()], batch_bytes, part_chars, splittable)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
+    out = map_arrow(rows, run, f"id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
