@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -175,28 +175,29 @@ class Chunks:
 def components(links: DataFrame) -> DataFrame:
     """(id, component_id) of every id in links(a, b): component_id is the smallest id it reaches.
 
-    Alternates large-star and small-star steps until nothing changes, which takes about the logarithm of the longest path. Each step is two shuffles of the
-    links that are left, written to the shared folder; nothing but one count a step reaches the driver.
-    Hubs are no problem: a step joins each link with one minimum, it never pairs the neighbours of a node.
+    Alternates large-star and small-star steps until nothing changes, which takes about the logarithm of the longest path. A round is three shuffles of the
+    links that are left, written to the shared folder; nothing but a count and two checksums a round reaches the driver.
+    Hubs are no problem: a step gives each link one minimum, it never pairs the neighbours of a node.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges = materialize(edges, "links")
+    state = (F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1))))
+    by_node = Window.partitionBy("u")
+    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    before = tuple(edges.agg(*state).first())
     while True:
-        # large star: link every larger neighbour of u (and u) to the smallest neighbour of u
+        # large star: link every larger neighbour of u to the smallest of u and its neighbours
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: link every smaller-or-equal neighbour of u (and u) to the smallest of them
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = small.union(low.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-        after = materialize(after, "links")
-        changed = after.join(edges, ["u", "v"], "left_anti").limit(1).count() + edges.join(after, ["u", "v"], "left_anti").limit(1).count()
+        low = both.withColumn("m", F.least(F.min("v").over(by_node), F.col("u")))
+        large = low.where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # small star: link u and every smaller neighbour of u to the smallest of them
+        down = large.withColumn("m", F.min("v").over(by_node))
+        small = down.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
+        after = materialize(small.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+        now = tuple(after.agg(*state).first())
         discard(edges)
         edges = after
-        if not changed:
+        if now == before:
             break
+        before = now
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(roots)
 

@@ -1,19 +1,20 @@
 """PII (1): candidate generation, boosted trees over format and context, calibrated thresholds. DataFrame functions only.
 
 Base spans follow fixed patterns and checks and always stay. Wider generators propose further, overlapping
-candidates: written-out mail addresses, national phone numbers, shorter card numbers, version-6 addresses. Each candidate has
-binned features of its form and its surroundings. The trees learn by distant supervision: candidates that
-pass the base checks against candidates of any generator that fail their own check. As features are bins, the training data are
-counts per cell of bins, of all documents, and the driver boosts over some hundreds of cells. The
-trees become one SQL expression; per family, the threshold is the least score that reaches the wanted precision on held-out counts.
+candidates: written-out mail addresses, national phone numbers, shorter card numbers, version-6 addresses, passwords and keys. Each candidate has
+binned features of its form and its surroundings; whether it passes its generator's check is one of them. The trees learn from sentences made
+by rule, with spans at known places and look-alikes beside them (`sentences`). As features are bins, the training data are
+counts per cell of bins, and the driver boosts over some hundreds of cells. The
+trees become one SQL expression; per family, the threshold is the least score that reaches the wanted precision on held-out sentences.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -25,9 +26,10 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){15,}+"  # shorter runs can't have 16 digits
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
 
 # The wider generators' patterns.
-MAIL_SPELLED = rf"(?<!{_LOCAL}){_LOCAL}++ ?(?:\((?:at|AT)\)|\[(?:at|AT)\]|(?<= )at(?= )) ?[A-Za-z0-9-]++(?: ?(?:\.|\((?:dot|DOT)\)|\[(?:dot|DOT)\]|(?<= )dot(?= )) ?[A-Za-z0-9-]++)++"
+MAIL_SPELLED = rf"(?<!{_LOCAL}){_LOCAL}++ ?(?:\((?:at|AT)\)|\[(?:at|AT)\]|(?<= )at(?= )) ?[A-Za-z0-9-]++(?:(?:\.| ?\((?:dot|DOT)\) ?| ?\[(?:dot|DOT)\] ?| dot )[A-Za-z0-9-]++)++"
 _GROUP = "[0-9A-Fa-f]{1,4}"
 IP_SIX = rf"(?<![0-9A-Za-z:])(?:(?:{_GROUP}:){{5,7}}{_GROUP}|(?:(?:{_GROUP}:){{1,7}}:|::(?={_GROUP}))(?:{_GROUP}(?::{_GROUP}){{0,6}})?)(?![0-9A-Za-z:])"
 CARD_SHORT = r"(?<![0-9A-Za-z.+-])[0-9](?:[\x20-]?[0-9]){12,14}(?![0-9A-Za-z]|[\x20-][0-9])"
@@ -35,10 +37,14 @@ PHONE_NATIONAL = r"(?<![0-9A-Za-z.+-])(?:00[0-9]{1,3}[ .-])?(?:\([0-9]{2,5}\) ?|
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 DATE = r"^(?:(?:19|20)[0-9]{2}[ .-][0-9]{1,2}[ .-][0-9]{1,2}|[0-9]{1,2}[ .-][0-9]{1,2}[ .-](?:19|20)[0-9]{2})$"
 FOR_IT = "mail|e-mail|contact|call|phone|tel|fax|mobile|cell|card|visa|master|amex|credit|payment|ip|host|server|address"
-AGAINST = "version|isbn|issn|order|invoice|page|chapter|section|serial|token|hash|id|no\\."
-
-FEATURES = ("family", "digits", "length", "separators", "before", "after", "context")
-ROUNDS = 24
+AGAINST = "version|isbn|issn|order|invoice|page|chapter|section|serial|hash|commit|checksum|digest|sha|md5|uuid|id|no\\.|number|part|ticket"
+_KEY = "(?i:token|secret|password|passwd|passphrase|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|bearer)"
+SECRET = rf"(?<={_KEY}[\"' ]{{0,3}}(?:=|:|=>|(?<= )is(?= ))[\"' ]{{0,3}})[A-Za-z0-9_+/=.!@#$%^&*-]{{6,}}+"
+_KEYISH = "[A-Za-z0-9_+/=-]"
+KEY_LIKE = rf"(?<!{_KEYISH})(?={_KEYISH}*[0-9])(?={_KEYISH}*[A-Za-z]){_KEYISH}{{20,}}+"
+
+FEATURES = ("generator", "digits", "length", "separators", "before", "after", "context", "valid", "shape", "spelled")
+ROUNDS = 60
 RATE = 0.3
 PRECISION = 0.98
 
@@ -76,12 +82,16 @@ class Generator:
         if self.name == "phone":
             return n_digits(value).between(8, 15)
         if self.name == "mail_spelled":
-            return F.lower(value).rlike(r"(?:\.|dot[)\]]?) ?[a-z]{2,6}$") & ~value.rlike(r" at .*(?:\. | \.)")  # "at home. Then" is prose
+            return F.lower(value).rlike(r"(?:\.|dot[)\]]?) ?[a-z]{2,6}$") & ~value.rlike(r"[.][A-Z][a-z]")  # "at home.Then" is prose
         if self.name == "ip_six":
             groups = F.size(F.filter(F.split(value, ":"), lambda x: x != ""))
             return (value.rlike(f"^(?:{_GROUP}:){{7}}{_GROUP}$") | (value.contains("::") & (groups <= 7))) & value.rlike("[0-9]")
         if self.name == "card_short":
             return n_digits(value).between(13, 15) & luhn(value) & value.rlike("^[3-6]")
+        if self.name == "secret":
+            return (n_digits(value) > 0) & value.rlike("[A-Za-z]")
+        if self.name == "key_like":
+            return n_digits(value) >= 4
         if self.name == "phone_national":
             return n_digits(value).between(9, 15) & ~value.rlike(DATE) & (value.contains("(") | value.startswith("00") | value.startswith("0"))
         return F.lit(True)
@@ -96,6 +106,8 @@ GENERATORS = (
     Generator("ip_six", 1, IP_SIX, "text rlike '[0-9A-Fa-f]:[0-9A-Fa-f:]|::[0-9A-Fa-f]'"),
     Generator("card_short", 2, CARD_SHORT, "digits"),
     Generator("phone_national", 3, PHONE_NATIONAL, "digits"),
+    Generator("secret", 4, SECRET, f"text rlike '{_KEY}'"),
+    Generator("key_like", 4, KEY_LIKE, "digits"),
 )
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
@@ -126,17 +138,19 @@ def _candidate(g: Generator, s: Column) -> Column:
     before = F.when(s["start"] == 0, F.lit("")).otherwise(before)
     context = F.when(before.rlike(rf"(?:^|[^a-z])(?:{FOR_IT})(?:[^a-z]|$)"), 2).when(before.rlike(rf"(?:^|[^a-z])(?:{AGAINST})(?:[^a-z]|$)"), 0).otherwise(1)
     n, size = n_digits(value), F.length(value)
+    bare = F.regexp_replace(value, "[ ().:-]", "")
+    shape = F.when(bare.rlike("^[A-Za-z]*$"), 0).when(bare.rlike("^[0-9]*$"), 1).when(bare.rlike("^[0-9A-Za-z]*$"), 2).otherwise(3)
     parts = F.length(F.regexp_replace(value, "[^ ().@:-]", ""))
     return F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), F.lit(g.base).alias("base"), g.valid(value).alias("valid"), F.lit(g.family).alias("family"),
+        s["start"].alias("start"), s["end"].alias("end"), F.lit(g.base).alias("base"), g.valid(value).cast("int").alias("valid"), F.lit(g.family).alias("family"), F.lit(GENERATORS.index(g)).alias("generator"),
         F.when(n == 0, 0).when(n < 8, 1).when(n < 12, 2).when(n < 16, 3).when(n < 20, 4).otherwise(5).alias("digits"),
         F.when(size < 10, 0).when(size < 16, 1).when(size < 24, 2).when(size < 40, 3).otherwise(4).alias("length"),
         F.least(parts, F.lit(5)).alias("separators"),
-        _side(F.substring(before, -1, 1)).alias("before"), _side(F.substring(text, s["end"] + 1, F.lit(1))).alias("after"), context.alias("context"),
+        _side(F.substring(before, -1, 1)).alias("before"), _side(F.substring(text, s["end"] + 1, F.lit(1))).alias("after"), context.alias("context"), shape.alias("shape"), F.when(value.rlike("[(\\[]| dot "), 1).otherwise(0).alias("spelled"),
     )
 
 
-CANDIDATE = "array<struct<start:int,end:int,base:boolean,valid:boolean,family:int,digits:int,length:int,separators:int,before:int,after:int,context:int>>"
+CANDIDATE = "array<struct<start:int,end:int,base:boolean,valid:int,family:int,generator:int,digits:int,length:int,separators:int,before:int,after:int,context:int,shape:int,spelled:int>>"
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -220,7 +234,7 @@ def boost(cells: list[dict]) -> Model:
                 leaf.append(RATE * sum(x[1] for x in own) / (sum(x[2] for x in own) + 1))
         model.trees.append((f, cut, lf, lc, rf, rc, tuple(leaf)))
         scores = [model.score(c) for c in cells]
-    for family in range(len(KINDS)):
+    for family in range(len(ALL_KINDS)):
         own = sorted(((s, c) for s, c in zip(scores, cells, strict=True) if c["family"] == family), key=lambda x: -x[0])
         good = bad = 0
         model.thresholds[family] = math.inf
@@ -231,16 +245,104 @@ def boost(cells: list[dict]) -> Model:
     return model
 
 
-def fit(found: DataFrame) -> Model:
-    """Boosts over the counts of all candidates. Ids whose crc32 is 0 modulo 5 only calibrate."""
-    held = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    each = found.select(held.alias("held"), F.explode("candidates").alias("c")).select("held", "c.*")
-    each = each.withColumn("label", F.when(F.col("valid") & F.col("base"), 1).when(~F.col("valid"), 0)).where("label IS NOT NULL")
-    counts = each.groupBy(*FEATURES).agg(
-        F.count_if(~F.col("held") & (F.col("label") == 1)).alias("pos"), F.count_if(~F.col("held") & (F.col("label") == 0)).alias("neg"),
-        F.count_if(F.col("held") & (F.col("label") == 1)).alias("held_pos"), F.count_if(F.col("held") & (F.col("label") == 0)).alias("held_neg"),
-    )
-    return boost([r.asDict() for r in counts.collect()])  # one row per cell of bins: 4 * 6 * 5 * 6 * 5 * 5 * 3 at most
+SENTENCES = 16_000
+
+
+def _pick(i: int, options: str) -> str:
+    words = options.split("|")
+    return f"element_at(array({', '.join(repr(w) for w in words)}), CAST(pmod(xxhash64(id, {i}), {len(words)}) + 1 AS INT))"
+
+
+def _digits(i: int, n: int) -> str:
+    return f"lpad(CAST(pmod(xxhash64(id, {i}), {10**n}) AS STRING), {n}, '0')"
+
+
+def _hex(i: int, n: int) -> str:
+    return f"substring(sha2(CAST(xxhash64(id, {i}) AS STRING), 256), 1, {n})"
+
+
+def _join(*parts: str) -> str:
+    return f"concat({', '.join(parts)})"
+
+
+def _makers() -> list[tuple[str, str, bool]]:
+    """(what stands before it, the value, whether it is a span) of each kind of sentence, as SQL over a row's id."""
+    name, word, other = _pick(2, "ann|bert|carla|d.miller|eva_k|frank77|g-h|info|sales"), _pick(3, "house|river|market|noon|school|work|night|least"), _pick(4, "Then|There|She|We|It")
+    host, top = _pick(5, "mail|post-box|company|uni-town|web7"), _pick(6, "org|com|net|de|info")
+    mails = (_join(name, _pick(7, " (at) | [at] |(at)|[at]| (AT) "), host, _pick(8, " (dot) | [dot] |."), top), _join(name, "' at '", host, _pick(8, " dot |."), top))
+    groups = [f"lower(hex(pmod(xxhash64(id, {20 + k}), 65536)))" for k in range(8)]
+    six = f"concat_ws(':', {', '.join(groups)})"
+    short = _join(_pick(9, "2001:db8|fe80|fd00:1|2a02"), "'::'", groups[0], _pick(10, "|:1|:2:3"))
+    clock = _join(_digits(11, 2), "':'", _digits(12, 2), "':'", _digits(13, 2), _pick(14, "|:00|:12:07|:1:2:3"))
+    mac = f"concat_ws(':', {', '.join(_hex(30 + k, 2) for k in range(6))})"
+    card = _pick(15, "3782 |4539-|51|60")
+    phone = [
+        _join("'(0'", _digits(40, 3), "') '", _digits(41, 3), _pick(42, " |-"), _digits(43, 4)), _join("'0'", _digits(40, 2), "' '", _digits(41, 4), "' '", _digits(43, 4)),
+        _join(_pick(44, "0049|0033|0044|001"), "' '", _digits(40, 2), "' '", _digits(41, 3), "' '", _digits(43, 4)), _join("'0'", _digits(40, 3), _pick(42, "-|.| "), _digits(41, 3), _pick(42, "-|.| "), _digits(43, 3)),
+    ]
+    numbers = [
+        _join(_pick(45, "1999|2007|2024"), "'-'", _digits(46, 2), "'-'", _digits(47, 2), _pick(48, "| 10")), _join(_digits(46, 2), "'.'", _digits(47, 2), "'.'", _pick(45, "1999|2007|2024")),
+        _join(_digits(46, 2), "'.'", _digits(47, 2), "'.'", _digits(48, 3), "'.'", _digits(49, 2)), _join("'978-'", _digits(46, 2), "'-'", _digits(47, 4), "'-'", _digits(48, 3)),
+        _join(_digits(46, 2), "' '", _digits(47, 3), "' '", _digits(48, 3)), _join(_digits(46, 3), "'-'", _digits(47, 3), "' '", _digits(48, 3)),
+    ]
+    secret = _pick(50, 'token = "|secret: |password is |api_key=|API key: "|access_key = |Bearer: |passwd=|pwd: ')
+    values = [_hex(51, 40), _hex(52, 16), _join("'sk_'", _hex(53, 24)), f"base64(CAST({_hex(54, 18)} AS BINARY))", _join(_pick(55, "Blue|Rain|xK|tiger"), _digits(56, 3), _pick(57, "!x|Zq|_9#|ab"))]
+    plain = _pick(60, "the |and |so we saw |of |it was |with |in |a ")
+    asks_mail, asks_host, asks_card, asks_phone = _pick(61, "write to |contact: |e-mail |my mail: "), _pick(62, "host |server |address |ip "), _pick(63, "card |visa |credit card: |amex |payment by "), _pick(64, "call |phone: |tel |fax |mobile ")
+    against = _pick(65, "version |isbn |order |invoice |page |section |serial |ticket |part no. ")
+    shas = _pick(66, "commit |sha |checksum |hash: |digest |uuid |id ")
+    made = [(b, v, True) for v in mails for b in (asks_mail, asks_mail, plain)][:5]
+    made += [(plain, _join(word, "' at '", _pick(5, "noon|home|school|night"), _pick(8, ".|. | ."), other), False)] * 3
+    made += [(b, v, True) for v in (six, short) for b in (asks_host, plain)]
+    made += [(plain, clock, False), (plain, mac, False), (asks_host, mac, False), (against, clock, False), (plain, _join(word, "'::'", name), False)]
+    made += [(b, "LUHN", True) for b in (asks_card, asks_card, asks_card)] + [(b, v, False) for b in (plain, against, against) for v in (_join(card, _digits(16, 10)), "LUHN")] + [(plain, _join("'1'", _digits(17, 12)), False)] * 2
+    made += [(b, v, True) for v in phone for b in (asks_phone, plain)]
+    made += [(b, v, False) for v in numbers for b in (plain, against)]
+    made += [(secret, v, True) for v in values] * 2
+    made += [(secret, _pick(67, "required|nothing|forgotten|something|yesterday|optional"), False)] * 3
+    made += [(b, v, False) for v in (values[0], values[1], _hex(58, 32), f"concat_ws('-', {_hex(51, 8)}, {_hex(52, 4)}, {_hex(53, 4)}, {_hex(54, 12)})") for b in (shas, plain)]
+    return made
+
+
+def sentences(spark: SparkSession, n: int = SENTENCES) -> DataFrame:
+    """(id, text, first, last, span): one value each in a plain sentence, from code point `first` to `last`; span says whether it is personal or a look-alike."""
+    makers = _makers()
+    rows = spark.range(0, n, 1, 4).withColumn("maker", F.expr(f"CAST(pmod(xxhash64(id, 1), {len(makers)}) AS INT)"))
+    payload = F.expr(_join(_pick(15, "3782 82|4539-12|511|6011 3"), _digits(16, 9)))
+    check = F.element_at(F.filter(F.sequence(F.lit(0), F.lit(9)), lambda d: luhn(F.concat(payload, d.cast("string")))), 1)
+    number = F.concat(payload, check.cast("string"))
+    rows = rows.withColumns({"befores": F.array(*(F.expr(b) for b, _, _ in makers)), "values": F.array(*(number if v == "LUHN" else F.expr(v) for _, v, _ in makers)), "spans": F.array(*(F.lit(s) for _, _, s in makers))})
+    before, value, span = (F.get(c, F.col("maker")) for c in ("befores", "values", "spans"))
+    opening, closing = F.expr(_pick(70, "|Yes: |Then we came home. |As told before, |It rained all day and ")), F.expr(_pick(71, "| and so on.|. Then it went on.|, they said| (see there)|; here"))
+    rows = rows.withColumns({"head": F.concat(opening, before), "value": value, "span": span})
+    return rows.select("id", F.concat("head", "value", closing).alias("text"), F.length("head").alias("first"), (F.length("head") + F.length("value")).alias("last"), "span")
+
+
+def _wide(rows: DataFrame) -> DataFrame:
+    """Adds `base_spans`, the base candidates that pass their checks, and `wide`, the candidates of the wider generators that overlap none of them."""
+    rows = rows.withColumn("base_spans", F.filter("candidates", lambda c: c["base"] & (c["valid"] == 1)))
+    return rows.withColumn("wide", F.filter("candidates", lambda c: ~c["base"] & ~F.exists(F.col("base_spans"), lambda b: _overlaps(b, c))))
+
+
+def fit(rows: DataFrame) -> Model:
+    """Boosts over the counts of all wide candidates in rows of sentences(). Each fifth sentence only calibrates.
+
+    A candidate counts as a span where it covers four fifths of one and doesn't reach beyond it by more than two code points.
+    """
+    places = rows.select(F.col("id").alias("own"), "first", "last", "span")
+    found = _wide(candidates(rows, "id", "text")).join(places, F.col("id") == F.col("own"))
+    each = found.select((F.col("id") % 5 == 0).alias("held"), "first", "last", "span", F.explode("wide").alias("c"))
+    common = F.least(F.col("c.end"), F.col("last")) - F.greatest(F.col("c.start"), F.col("first"))
+    label = F.col("span") & (common * 5 >= (F.col("last") - F.col("first")) * 4) & (F.col("c.start") >= F.col("first") - 2) & (F.col("c.end") <= F.col("last") + 2)
+    each = each.select("held", label.alias("label"), "c.*")
+    counts = each.groupBy("family", *FEATURES).agg(*(F.count_if((F.col("held") if held else ~F.col("held")) & (F.col("label") if good else ~F.col("label"))).alias(f"{'held_' * held}{'pos' if good else 'neg'}") for held in (False, True) for good in (True, False)))
+    return boost([r.asDict() for r in counts.collect()])  # a row per cell of bins that occurs: SENTENCES at most
+
+
+@lru_cache(maxsize=1)
+def default_model() -> Model:
+    """The model of the sentences; they are made by rule, so it is the same each time."""
+    return fit(materialize(sentences(SparkSession.getActiveSession()), "sentences"))
 
 
 def _overlaps(a: Column, b: Column) -> Column:
@@ -250,18 +352,16 @@ def _overlaps(a: Column, b: Column) -> Column:
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """(id, base, added) of each row: arrays of (kind, start, end), in code points, end exclusive, by kind and start.
 
-    base: the fixed patterns' matches that pass their checks. added: valid candidates of the wider generators whose
+    base: the fixed patterns' matches that pass their checks. added: candidates of the wider generators whose
     score reaches their family's threshold; they overlap no base span, and of two that overlap the better
     stays (then the earlier). Null and empty texts have none; repeated rows each have a row; an empty
-    table gives no rows; further columns aren't read. Without a model one is fitted on these documents.
+    table gives no rows; further columns aren't read. Without a model that of the sentences is taken.
     """
+    model = model or default_model()
     found = materialize(candidates(docs, id_col, text_col), "candidates")
-    model = model or fit(found)
-    kind = F.array(*[F.lit(k) for k in KINDS])
-    base = F.filter("candidates", lambda c: c["base"] & c["valid"])
-    wide = F.filter("candidates", lambda c: ~c["base"] & c["valid"] & ~F.exists(F.col("base_spans"), lambda b: _overlaps(b, c)))
-    rows = found.withColumn("base_spans", base).withColumn("wide", wide)
-    least = F.array(*[F.lit(model.thresholds.get(k, math.inf)) for k in range(len(KINDS))])
+    kind = F.array(*[F.lit(k) for k in ALL_KINDS])
+    rows = _wide(found)
+    least = F.array(*[F.lit(model.thresholds.get(k, math.inf)) for k in range(len(ALL_KINDS))])
     scored = F.transform("wide", lambda c: F.struct((-model.expression(c)).alias("cost"), c["start"].alias("start"), c["end"].alias("end"), c["family"].alias("family")))
     scored = F.array_sort(F.filter(scored, lambda c: -c["cost"] >= F.get(least, c["family"])))
     none = F.array().cast("array<struct<cost:double,start:int,end:int,family:int>>")
@@ -281,7 +381,7 @@ def written(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, n_redacted): the texts with every span of detect() replaced by its kind in brackets. Needs unique ids."""
+    """(id, text, n_redacted): the texts with every span of detect() replaced by its kind in brackets. Needs unique ids; null texts stay null."""
     spans = detect(docs, id_col, text_col).select(F.col(id_col).alias("span_id"), F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("spans"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

@@ -14,8 +14,11 @@ from .common import scratch, table
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in whole texts."""
     spans = pii.detect(table(spark, sf_dir, "documents"))
-    every = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(F.array_position(F.array(*map(F.lit, pii.KINDS)), s["kind"]).alias("order"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    return spans.select("doc_id", *map(_n_of, pii.KINDS), F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(every).alias("spans"))
+    every = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(F.array_position(F.array(*map(F.lit, pii.ALL_KINDS)), s["kind"]).alias("order"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    n_secret = F.size(F.filter("added", lambda s: s["kind"] == "secret")).cast("long").alias("n_secret")
+    return spans.select(
+        "doc_id", *map(_n_of, pii.KINDS), F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(every).alias("spans"), F.size("added").cast("long").alias("n_added"), n_secret,
+    )
 
 
 def _n_of(kind: str) -> Column:
