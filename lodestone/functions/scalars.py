@@ -24,7 +24,70 @@ def wave_format(value: Column, version: Column | int = 43) -> Column:
 
 
 def codec_name(codec: Column) -> Column:
-    return F.get(F.array(*map(F.lit, CODECS)), codec.cast("int"))
+    return F.coalesce(F.get(F.array(*map(F.lit, CODECS)), codec.cast("int")), F.lit("unknown"))
+
+
+def codec_extension(codec: Column) -> Column:
+    """The extension of a wave's file: .wav for the first three codecs, .wma for the fourth, .bin for any other."""
+    return F.when(codec.between(0, 2), ".wav").when(codec == 3, ".wma").otherwise(".bin")
+
+
+#: Format tags that a wave file may have, by what it is used for (1 PCM, 2 MS-ADPCM, 3 IEEE float, 17 IMA4).
+USES = {"SoundEffect": (1,), "Xact": (1, 2), "All": (1, 2, 3, 17)}
+
+
+def codec_allowed(tag: Column, use: str) -> Column:
+    return tag.isin(*USES[use])
+
+
+#: The parameters of a reverb in their order.
+REVERB = (
+    "reflections_delay_ms reverb_delay_ms position_left position_right position_left_matrix position_right_matrix early_diffusion late_diffusion low_eq_gain low_eq_cutoff high_eq_gain high_eq_cutoff "
+    "rear_delay_ms room_filter_frequency_hz room_filter_main_db room_filter_high_frequency_db reflections_gain_db reverb_gain_db decay_time_sec density_pct room_size_feet wet_dry_mix_pct"
+).split()
+
+
+def reverb(values: Column) -> Column:
+    """A struct of the 22 parameters of a reverb, by name."""
+    return F.struct(*[F.get(values, F.lit(i)).alias(n) for i, n in enumerate(REVERB)])
+
+
+def joined(values: Column, separator: str = ", ") -> Column:
+    """Values as one text; nulls are left out."""
+    return F.array_join(F.transform(values, lambda v: v.cast("string")), separator)
+
+
+def unique_name(content: Column) -> Column:
+    """A name by content: the same bytes, the same name."""
+    return F.substring(F.sha2(content, 256), 1, 16)
+
+
+def sheet_side(n: Column) -> Column:
+    """Tiles along the side of the smallest square sheet that holds n."""
+    return F.ceil(F.sqrt(n)).cast("long")
+
+
+def batch_of(place: Column, most: int) -> Column:
+    """The batch of a file by its place, `most` files each; 1 to 15."""
+    return F.floor(place / max(1, min(15, most))).cast("long")
+
+
+def vector_half(a: Column) -> Column:
+    """Each value moved to the nearest half-open step: floor of the value and a half."""
+    return F.transform(a, lambda x: F.floor(x + F.lit(0.5)).cast("double"))
+
+
+def vector_subtract(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x - y)
+
+
+def vector_divide(a: Column, b: Column) -> Column:
+    """Null where a divisor is 0."""
+    return F.zip_with(a, b, lambda x, y: F.when(y != 0, x / y))
+
+
+def any_less(a: Column, b: Column) -> Column:
+    return F.exists(F.zip_with(a, b, lambda x, y: x < y), lambda t: t)
 
 
 def category_flags(value: Column) -> Column:
@@ -141,7 +204,8 @@ def tokens(value: Column) -> Column:
 
 def tuples(values: Column, n: int) -> Column:
     """The values as consecutive tuples of n; an incomplete tail is dropped."""
-    return F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / n).cast("int") - 1), lambda i: F.slice(values, i * n + 1, F.lit(n))) if n else F.array()
+    places = F.when(F.size(values) >= n, F.sequence(F.lit(0), F.floor(F.size(values) / n).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.slice(values, i * n + 1, F.lit(n)))
 
 
 def nearest_divisor(value: Column) -> Column:
@@ -161,8 +225,8 @@ def gcd(values: Column) -> Column:
 
 
 def lcm(values: Column) -> Column:
-    """Least common multiple of positive integers, in 64 bits, dividing first."""
-    return F.aggregate(values, F.lit(1).cast("long"), lambda s, v: F.floor(s / gcd(F.array(s, v.cast("long")))).cast("long") * v)
+    """Least common multiple of integers from 0 on, in 64 bits, dividing first; 0 where one is 0."""
+    return F.aggregate(values, F.lit(1).cast("long"), lambda s, v: F.when((s == 0) | (v == 0), F.lit(0).cast("long")).otherwise(F.call_function("div", s, gcd(F.array(s, v.cast("long")))) * v))
 
 
 def season_names(name: Column) -> Column:

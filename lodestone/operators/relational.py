@@ -33,10 +33,29 @@ def first_match_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ord
     return left.join(first_of(right, keys, [F.asc(order)]), list(keys))
 
 
-def lookup(df: DataFrame, table: DataFrame, key: str, most_rows: int = 100_000) -> DataFrame:
-    """Inner join to a table of names by number; the table is broadcast if a count shows that it's small."""
-    small = table.limit(most_rows + 1).count() <= most_rows
-    return df.join(F.broadcast(table) if small else table, key)
+def lookup(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join to a table of names by number. Whether it is broadcast is Spark's choice, by its size in bytes when the plan runs."""
+    return df.join(table, key)
+
+
+def pivoted_counts(df: DataFrame, keys: Sequence[str], kind: str, kinds: Sequence[str], suffix: str) -> DataFrame:
+    """Counts of each kind by key in one shuffle: what a full outer join of one list per kind gives, where all come from one table. Null: none."""
+    counts = [F.nullif(F.count_if(F.col(kind) == k), F.lit(0)).alias(f"{k}_{suffix}") for k in kinds]
+    return df.where(F.col(kind).isin(*kinds)).groupBy(*keys).agg(*counts)
+
+
+def matched_fields(df: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """The columns that a target has, by name and type; an error where one is missing or of another type."""
+    known = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    wrong = {n: t for n, t in fields.items() if known.get(n) != t}
+    if wrong:
+        raise ValueError(f"no fields for {wrong}")
+    return df.select(*fields)
+
+
+def keyed_map(df: DataFrame, keys: Sequence[str], key: str, value: str, name: str) -> DataFrame:
+    """A map per group; a key that occurs twice in one is an error (Spark's default for maps)."""
+    return df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias(name))
 
 
 def keep_used(df: DataFrame, used: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -98,8 +117,8 @@ def from_topmost(df: DataFrame, keys: Sequence[str], layer: Column, opaque: Colu
 
 
 def resample(interval: Column, frames: Column, tick: Column, length: Column) -> Column:
-    """Frame number shown at each tick of an animation: steps of `tick` over `length`, wrapping at the frame count."""
-    steps = F.sequence(F.lit(0).cast("long"), F.floor(length / tick).cast("long") - 1)
+    """Frame number shown at each tick of an animation: steps of `tick` over `length`, wrapping at the frame count; none where a tick is longer."""
+    steps = F.when(length >= tick, F.sequence(F.lit(0).cast("long"), F.floor(length / tick).cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
     return F.transform(steps, lambda i: F.floor(i * tick / interval).cast("long") % frames)
 
 

@@ -1,53 +1,20 @@
-"""Audio projects: cue, sound and wave tables to named waves."""
+"""Audio projects: which cue names a wave."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import functions as fn
-from .relational import last_wins_join, lookup
-
-
-def first_writer_names(used: DataFrame, bank: str, wave: str, cue: str, order: list[str], cue_name: Column) -> DataFrame:
-    """Adds `name` and leaves one row per wave: the first cue in order names it, with a number where the cue names several."""
-    first = used.withColumn("_r", F.row_number().over(Window.partitionBy(bank, wave).orderBy(*order))).where("_r = 1").drop("_r")
-    own = Window.partitionBy(cue)
-    number = F.row_number().over(own.orderBy(bank, wave)) - 1
-    return first.withColumn("name", F.concat(cue_name, F.when(F.count("*").over(own) > 1, F.concat(F.lit("_"), number.cast("string"))).otherwise("")))
-
-
-def cue_tracks(cues: DataFrame, events: DataFrame, variations: DataFrame | None = None) -> DataFrame:
-    """(cue_ord, cue_name, ord, wave_bank_index, track_index, category_id) of every wave a cue can play, once each.
-
-    cues: (cue_ord, cue_name, sound_ord) with a row per sound; events: (sound_ord, ord, wave_bank_index, track_index, category_id) with a
-    row per track of an event. variations: (cue_ord, cue_name, ord, wave_bank_index, track_index) of cues that
-    name waves without a sound; they have no category.
-    """
-    found = cues.join(events, "sound_ord").select("cue_ord", "cue_name", "ord", "wave_bank_index", "track_index", "category_id")
-    if variations is not None:
-        found = found.unionByName(variations.select("cue_ord", "cue_name", "ord", "wave_bank_index", "track_index", F.lit(None).cast("int").alias("category_id")))
-    return found.groupBy("cue_ord", "cue_name", "wave_bank_index", "track_index", "category_id").agg(F.min("ord").alias("ord"))
-
 
-def name_waves(tracks: DataFrame, bank_names: DataFrame, banks: DataFrame, entries: DataFrame, categories: DataFrame | None = None) -> DataFrame:
-    """(bank_ord, entry_idx, bank_name, cue_name, category, name) of every entry of all banks.
+def first_writer_names(used: DataFrame, wave: Sequence[str], cue: Sequence[str], order: Sequence[str], cue_name: Column, several: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per wave with its cue, `keep`, and `name`: the first cue in the order of (cue, order) names it.
 
-    bank_names: (wave_bank_index, bank_name) of the sound bank; banks: (bank_ord, bank_name) as loaded, of one name
-    the last counts; entries: (bank_ord, entry_idx). Entries that no cue plays, and all entries where there is no sound
-    bank, are named by their number in eight hexadecimal digits.
+    A cue of several sounds puts a number behind its name that counts the waves it has named. The first of each wave is found in
+    one aggregation that has a partial stage; columns of `keep` come from the row that names it.
     """
-    resolved = last_wins_join(bank_names, banks.select("bank_name", "bank_ord"), "bank_name", "bank_ord").where("bank_ord IS NOT NULL")
-    used = lookup(tracks, resolved.select("wave_bank_index", "bank_ord"), "wave_bank_index").withColumnRenamed("track_index", "entry_idx")
-    used = used.join(entries.select("bank_ord", "entry_idx"), ["bank_ord", "entry_idx"])
-    if categories is not None:
-        used = used.join(categories.select("category_id", F.col("name").alias("category")), "category_id", "left")
-    else:
-        used = used.withColumn("category", F.lit(None).cast("string"))
-    first = used.withColumn("_r", F.row_number().over(Window.partitionBy("bank_ord", "entry_idx").orderBy("cue_ord", "ord"))).where("_r = 1")
-    several = used.select("cue_ord", "wave_bank_index", "entry_idx", "category").distinct().groupBy("cue_ord").agg(F.count("*").alias("_n"))
-    number = F.row_number().over(Window.partitionBy("cue_ord").orderBy("ord")) - 1
-    named = first.join(several, "cue_ord").withColumn("name", F.concat("cue_name", F.when(F.col("_n") > 1, F.concat(F.lit("_"), number.cast("string"))).otherwise("")))
-    every = entries.select("bank_ord", "entry_idx").join(named.select("bank_ord", "entry_idx", "cue_name", "category", "name"), ["bank_ord", "entry_idx"], "left")
-    every = every.withColumn("name", F.coalesce("name", fn.default_name(F.col("entry_idx"))))
-    return every.join(banks.select("bank_ord", "bank_name"), "bank_ord", "left")
+    first = used.groupBy(*wave).agg(F.min(F.struct(*cue, *order, several.alias("_several"), *[F.col(k).alias(f"_{k}") for k in keep])).alias("_f"))
+    first = first.select(*wave, *[F.col("_f")[c].alias(c) for c in [*cue, *order]], F.col("_f._several").alias("_several"), *[F.col("_f")[f"_{k}"].alias(k) for k in keep])
+    number = F.row_number().over(Window.partitionBy(*cue).orderBy(*order, *wave)) - 1
+    return first.withColumn("name", F.concat(cue_name, F.when(F.col("_several"), F.concat(F.lit("_"), number.cast("string"))).otherwise(""))).drop("_several")

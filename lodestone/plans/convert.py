@@ -5,13 +5,16 @@ Each is one plan a kind of file; `report` counts what worked, and faults stay ro
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import functions as fn
 from .. import sources as src
-from ..sources import images, xnb
+from ..operators.xact import first_writer_names
+from ..sources import audio, images, xnb
 
 
 def relative(path: Column, root: str) -> Column:
@@ -27,7 +30,7 @@ def _png(kind, width, height, data):
     import pandas as pd
 
     def one(k, w, h, d):
-        raster = d if k == images.RGBA else images.dxt_decode(d, w, h, k)
+        raster = d[: w * h * 4] if k == images.RGBA else images.dxt_decode(d, w, h, k)
         return images.png_encode(images.unpremultiply(raster), w, h)
 
     return pd.Series([None if d is None else one(int(k), int(w), int(h), d) for k, w, h, d in zip(kind, width, height, data)], dtype=object)
@@ -36,52 +39,77 @@ def _png(kind, width, height, data):
 def unpack(spark: SparkSession, source: str, target: str, classes: dict | None = None) -> DataFrame:
     """Unpacks every container below `source` into `target` and returns (path, _error_code, _error) of each.
 
-    A texture becomes .png, a map .tbin, an effect .cso, XML .xml, all else .json; header and manifest go to .config
-    beside it, as pack() needs them. The rows are decoded once and kept as a table below `target`.
+    A texture becomes .png, a map .tbin, an effect .cso, XML .xml, a sound effect .wav and .json, all else .json; header and manifest go to .config
+    beside it, as pack() needs them. The rows are decoded once and kept as a table below `target`. A texture of a format that has no
+    decoder, or of fewer bytes than its size takes, writes nothing and is reported.
     """
     kept = f"{target.rstrip('/')}/_rows"
     src.read_xnb(src.files(spark, source, "*.xnb"), classes).write.mode("overwrite").parquet(kept)
     rows = spark.read.parquet(kept)
     rel = relative(F.col("path"), source)
-    good = rows.where("_error_code IS NULL AND (texture IS NULL OR texture.format IN (0, 4, 5, 6))")
+    form, size = F.col("texture.format"), (F.col("texture.width"), F.col("texture.height"))
+    wanted = F.when(form == images.RGBA, size[0].cast("long") * size[1] * 4).when(form == images.DXT1, fn.dxt_bytes(*size, 8)).otherwise(fn.dxt_bytes(*size, 16))
+    bad = F.when(F.col("texture").isNull(), None).when(~form.isin(images.RGBA, images.DXT1, images.DXT3, images.DXT5), "bad_format").when((size[0] <= 0) | (size[1] <= 0), "bad_value").when(F.length("texture.data") < wanted, "truncated")
+    rows = rows.withColumn("_error_code", F.coalesce("_error_code", bad))
+    good = rows.where("_error_code IS NULL")
     config = F.to_json(F.struct("target", "format_version", "compressed_flag", "hidef", "readers", "extension", F.col("texture.format").alias("format")))
+    rel = relative(F.col("path"), source)
     image = good.where("texture IS NOT NULL").select(F.concat(rel, F.lit(".png")).alias("rel_path"), _png("texture.format", "texture.width", "texture.height", "texture.data").alias("content"))
     blob = good.where("data IS NOT NULL").select(F.concat(rel, F.lit("."), "extension").alias("rel_path"), F.col("data").alias("content"))
     suffix = F.when(F.col("extension") == "xml", ".xml").otherwise(".json")
-    text = good.where("content IS NOT NULL").select(F.concat(rel, suffix).alias("rel_path"), F.encode("content", "UTF-8").alias("content"))
+    text = good.where("content IS NOT NULL AND extension <> 'wav'").select(F.concat(rel, suffix).alias("rel_path"), F.encode("content", "UTF-8").alias("content"))
+    sounds = src.sound_pairs(good)
+    sounds = sounds.select(F.concat(rel, F.lit(".wav")).alias("rel_path"), F.col("wave").alias("content")).unionByName(sounds.select(F.concat(rel, F.lit(".json")).alias("rel_path"), F.encode("json", "UTF-8").alias("content")))
     configs = good.select(F.concat(rel, F.lit(".config")).alias("rel_path"), F.encode(config, "UTF-8").alias("content"))
-    src.write_files(image.unionByName(blob).unionByName(text).unionByName(configs), target)
-    bad = F.when(F.col("texture.format").isNotNull() & ~F.col("texture.format").isin(0, 4, 5, 6), "bad_format")
-    return rows.select("path", F.coalesce("_error_code", bad).alias("_error_code"), "_error")
+    src.write_files(image.unionByName(blob).unionByName(text).unionByName(sounds).unionByName(configs), target)
+    return rows.select("path", "_error_code", "_error")
+
 
+def pack(spark: SparkSession, source: str, target: str, classes: dict | None = None, compress: bool = False) -> DataFrame:
+    """Packs what unpack() wrote: .config files joined with their payloads by stem, containers written to `target`.
 
-def pack(spark: SparkSession, source: str, target: str, classes: dict | None = None, compress: bool = False) -> None:
-    """Packs what unpack() wrote: .config files joined with their payloads by stem, containers written to `target`."""
-    found = src.files(spark, source).where(~F.col("path").contains("/_rows/")).select(relative(F.col("path"), source).alias("rel"), "ext", "content")
+    Returns (path, _error_code, _error) of each; what can't be packed is a row with its reason and writes nothing. The rows are kept as a table below `target`.
+    """
+    found = src.files(spark, source).where(~F.col("path").contains("/_rows/") & ~F.col("path").contains("/_packed/")).select(relative(F.col("path"), source).alias("rel"), "ext", "content")
     config = "target string, format_version int, compressed_flag int, hidef boolean, readers array<struct<type:string,version:bigint>>, extension string, format int"
     heads = found.where("ext = '.config'").select("rel", F.from_json(F.decode("content", "UTF-8"), config).alias("head"))
-    parts = found.where("ext IN ('.png', '.json', '.xml', '.cso', '.tbin')").groupBy("rel").agg(F.map_from_entries(F.collect_list(F.struct("ext", "content"))).alias("parts"))
+    parts = found.where("ext IN ('.png', '.json', '.xml', '.cso', '.tbin', '.wav')").groupBy("rel").agg(F.map_from_entries(F.collect_list(F.struct("ext", "content"))).alias("parts"))
+
+    def container(head: dict, given: dict) -> bytes:
+        row = head | {"texture": None, "data": None, "content": None}
+        if ".png" in given:
+            width, height, raster = images.png_decode(given[".png"])
+            raster = images.premultiply(raster)
+            kind = head["format"] or 0
+            data = raster if kind == images.RGBA else images.dxt_encode(raster, width, height, kind)
+            row["texture"] = {"format": kind, "width": width, "height": height, "data": data}
+        row["data"] = given.get(".cso", given.get(".tbin"))
+        text = given.get(".json", given.get(".xml"))
+        row["content"] = None if text is None else text.decode()
+        if ".wav" in given:
+            wave = audio.parse_wave(given[".wav"])
+            row["content"] = json.dumps(json.loads(row["content"]) | {"fmt": audio.format_bytes(wave).hex(), "data": wave["data"].hex()})
+        return xnb.build(row, classes, compress)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for item in batch.to_pylist():
-                head, given = item["head"], dict(item["parts"])
-                row = head | {"texture": None, "data": None, "content": None}
-                if ".png" in given:
-                    width, height, raster = images.png_decode(given[".png"])
-                    raster = images.premultiply(raster)
-                    kind = head["format"] or 0
-                    data = raster if kind == images.RGBA else images.dxt_encode(raster, width, height, kind)
-                    row["texture"] = {"format": kind, "width": width, "height": height, "data": data}
-                row["data"] = given.get(".cso", given.get(".tbin"))
-                text = given.get(".json", given.get(".xml"))
-                row["content"] = None if text is None else text.decode()
-                data = xnb.build(row, classes, compress)
-                yield pa.RecordBatch.from_pydict({"rel_path": [item["rel"] + ".xnb"], "content": pa.array([data], pa.binary())})
-
-    src.write_files(heads.join(parts, "rel").mapInArrow(run, "rel_path string, content binary"), target)
+            for i in range(batch.num_rows):
+                rel, head, given = (batch.column(c)[i].as_py() for c in ("rel", "head", "parts"))
+                data = code = why = None
+                try:
+                    data = container(head, dict(given))
+                except src.FAULTS as e:
+                    code, why = getattr(e, "code", "bad_value"), str(e)
+                columns = [pa.array([x], t) for x, t in ((rel + ".xnb", pa.string()), (data, pa.binary()), (code, pa.string()), (why, pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, ["rel_path", "content", "_error_code", "_error"])
+
+    kept = f"{target.rstrip('/')}/_packed"
+    heads.join(parts, "rel").mapInArrow(run, "rel_path string, content binary, _error_code string, _error string").write.mode("overwrite").parquet(kept)
+    rows = spark.read.parquet(kept)
+    src.write_files(rows.select("rel_path", "content"), target)
+    return rows.select(F.col("rel_path").alias("path"), "_error_code", "_error")
 
 
 def report(rows: DataFrame) -> DataFrame:
@@ -92,33 +120,30 @@ def report(rows: DataFrame) -> DataFrame:
 def name_project(cues: DataFrame, entries: DataFrame, categories: DataFrame | None = None) -> DataFrame:
     """Names the entries of all wave banks by the cues that play them.
 
-    cues: sources.cue_waves(); entries: sources.wave_entries(), of banks with one name the last path counts; categories:
-    (category_id, name). The first cue in order names a wave, with a number where a cue names several; waves
-    that no cue plays take their number in eight hexadecimal digits. Adds cue_name, category and name.
+    cues: sources.cue_waves(), cues of different sound banks (path) are different ones; entries: sources.wave_entries(), of banks with one name the last
+    path counts; categories: (path, category_id, name) of engines, the last path counts. The first cue in order names a wave, with a number where the cue has several sounds;
+    waves that no cue plays take their number in eight hexadecimal digits. Adds cue_name, category and name.
     """
-    used = cues.groupBy("bank_name", "track_index", "cue_ord", "cue_name").agg(F.min(F.struct("sound_ord", F.coalesce("clip_ord", F.lit(0)), F.coalesce("event_ord", F.lit(0)), "category_id")).alias("o"))
-    by_wave = Window.partitionBy("bank_name", "track_index").orderBy("cue_ord", "o")
-    first = used.withColumn("_r", F.row_number().over(by_wave)).where("_r = 1")
-    sounds = cues.groupBy("cue_ord").agg(F.countDistinct("bank_name", "track_index").alias("_n"))
-    number = F.row_number().over(Window.partitionBy("cue_ord").orderBy("o", "bank_name", "track_index")) - 1
-    named = first.join(sounds, "cue_ord").select(
-        "bank_name", F.col("track_index").alias("entry_idx"), "cue_name", F.col("o.category_id").alias("category_id"),
-        F.concat("cue_name", F.when(F.col("_n") > 1, F.concat(F.lit("_"), number.cast("string"))).otherwise("")).alias("_name"),
-    )
+    sounds = cues.groupBy(F.col("path").alias("cue_path"), "cue_ord").agg((F.countDistinct("sound_ord") > 1).alias("several"))
+    used = cues.withColumnRenamed("path", "cue_path").join(sounds, ["cue_path", "cue_ord"])
+    used = used.withColumns({"clip_ord": F.coalesce("clip_ord", F.lit(0)), "event_ord": F.coalesce("event_ord", F.lit(0))})
+    named = first_writer_names(used, ["bank_name", "track_index"], ["cue_path", "cue_ord"], ["sound_ord", "clip_ord", "event_ord"], F.col("cue_name"), F.col("several"), ["cue_name", "category_id"])
+    named = named.select("bank_name", F.col("track_index").alias("entry_idx"), "cue_name", "category_id", F.col("name").alias("_name"))
     loaded = Window.partitionBy("bank_name").orderBy(F.desc("path"))
     last = entries.withColumn("_load", F.dense_rank().over(loaded)).select(entries["*"], (F.col("_load") == 1).alias("_last"))
     out = last.join(named.withColumn("_last", F.lit(True)), ["bank_name", "entry_idx", "_last"], "left").drop("_last")
     out = out.withColumn("name", F.coalesce("_name", fn.default_name(F.col("entry_idx")))).drop("_name")
     if categories is None:
         return out.withColumn("category", F.lit(None).cast("string")).drop("category_id")
-    return out.join(categories.select("category_id", F.col("name").alias("category")), "category_id", "left").drop("category_id")
+    own = categories.join(categories.agg(F.max("path").alias("path")), "path")
+    return out.join(own.select("category_id", F.col("name").alias("category")), "category_id", "left").drop("category_id")
 
 
 def unpack_project(spark: SparkSession, source: str, target: str) -> DataFrame:
     """Waves of the audio project in `source` as files bank/name.wav below `target`; returns their names without bytes."""
     entries = src.wave_entries(src.read_xwb(src.files(spark, source, "*.xwb")))
     cues = src.cue_waves(src.read_xsb(src.files(spark, source, "*.xsb")))
-    categories = src.read_xgs(src.files(spark, source, "*.xgs")).select(F.explode("categories").alias("c")).select("c.*")
+    categories = src.read_xgs(src.files(spark, source, "*.xgs")).select("path", F.explode("categories").alias("c")).select("path", "c.*")
     named = name_project(cues, entries, categories)
     wave = src._wave("data", "codec", "channels", "rate", "align", "bits")
     src.write_files(named.select(F.concat("bank_name", F.lit("/"), "name", F.lit(".wav")).alias("rel_path"), wave.alias("content")), target)

@@ -242,9 +242,8 @@ def anti_bad(spark, sf_dir):
        FULL JOIN (SELECT * FROM e WHERE event_type = 'view') c USING (user_id)""",
 )
 def full_outer_merge(spark, sf_dir):
-    """Day, night and light lists merged by place."""
-    counts = table(spark, sf_dir, "events").where("value > 200").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return rel.merge_lists({k: counts.where(F.col("event_type") == k).drop("event_type") for k in ("error", "signup", "view")}, ["user_id"])
+    """Day, night and light lists merged by place; as all three come from one table, in one shuffle."""
+    return rel.pivoted_counts(table(spark, sf_dir, "events").where("value > 200"), ["user_id"], "event_type", ["error", "signup", "view"], "n")
 
 
 @query(
@@ -395,31 +394,29 @@ def hex_default_name(spark, sf_dir):
 
 
 XACT_SQL = """
-WITH banks AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey DESC) AS k FROM supplier),
-cues AS (SELECT o_orderkey AS cue, o_custkey % 25 AS nation, o_custkey % 7 AS track, o_orderpriority AS category FROM orders),
-named AS (SELECT DISTINCT cue, n_name, s_suppkey AS bank, track, category FROM cues JOIN nation ON n_nationkey = nation LEFT JOIN banks ON s_nationkey = n_nationkey AND k = 1),
-entries AS (SELECT DISTINCT cue, bank, n_name, track, category, l_partkey AS wave FROM named JOIN lineitem ON l_orderkey = cue AND l_linenumber - 1 = track),
-firsts AS (SELECT *, row_number() OVER (PARTITION BY bank, wave ORDER BY cue, category) AS r FROM entries),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY cue ORDER BY bank, wave) - 1 AS i, count(*) OVER (PARTITION BY cue) AS c FROM firsts WHERE r = 1)
-SELECT cue, bank, wave, n_name AS bank_name, category, lpad(lower(printf('%x', cue)), 8, '0') || CASE WHEN c > 1 THEN '_' || CAST(i AS VARCHAR) ELSE '' END AS name FROM numbered
+WITH banks AS (SELECT s_nationkey, max(s_suppkey) AS bank FROM supplier GROUP BY 1),
+cues AS (SELECT o_orderkey AS cue, o_custkey, o_custkey % 25 AS nation, o_orderpriority AS category, unnest(range(1 + o_orderkey % 2)) AS sound FROM orders),
+used AS (SELECT cue, sound, category, bank, l_partkey AS wave FROM cues JOIN banks ON s_nationkey = nation JOIN lineitem ON l_orderkey = cue AND l_linenumber - 1 = (o_custkey + 3 * sound) % 7),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY bank, wave ORDER BY cue, sound) AS r FROM used),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY cue ORDER BY sound, bank, wave) - 1 AS i FROM firsts WHERE r = 1)
+SELECT cue, bank, wave, n_name AS bank_name, category, lpad(lower(printf('%x', cue)), 8, '0') || CASE WHEN cue % 2 = 1 THEN '_' || CAST(i AS VARCHAR) ELSE '' END AS name
+FROM numbered JOIN supplier ON s_suppkey = bank JOIN nation ON n_nationkey = s_nationkey
 """
 
 
 @query("xact_flagship", XACT_SQL)
 def xact_flagship(spark, sf_dir):
-    """Names every wave of an audio project: bank, category and entry joins, distinct tracks of a cue, first writer wins.
+    """Names every wave of an audio project: bank names resolved (the last loaded counts), sounds to entries, first writer wins, numbered where its cue has several sounds.
 
-    The operator that reads real project tables is lodestone.operators.xact.name_waves; this has its plan over
-    the driver tables.
+    Keys alone pass through the shuffles; the bank's name joins last. convert.name_project has the same operator over real project tables.
     """
     from ..operators.xact import first_writer_names
 
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    banks = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), F.col("s_suppkey").alias("bank"))
-    banks = rel.last_wins_join(nation, banks, "n_nationkey", "bank")
-    cues = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS cue", "CAST(o_custkey % 25 AS INT) AS n_nationkey", "o_custkey % 7 AS track", "o_orderpriority AS category")
-    tracks = rel.lookup(cues, banks, "n_nationkey").select("cue", "n_name", "bank", "track", "category").distinct()
+    banks = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.max("s_suppkey").alias("bank"))
+    cues = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS cue", "CAST(o_custkey % 25 AS INT) AS nation", "o_custkey", "o_orderpriority AS category", "explode(sequence(0L, o_orderkey % 2)) AS sound")
+    tracks = rel.lookup(cues.withColumn("track", F.expr("(o_custkey + 3 * sound) % 7")).drop("o_custkey"), banks, "nation").drop("nation")
     entries = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS cue", "CAST(l_linenumber - 1 AS BIGINT) AS track", "l_partkey AS wave")
-    used = tracks.join(entries, ["cue", "track"]).select("cue", "bank", "n_name", "track", "category", "wave").distinct()
-    named = first_writer_names(used, bank="bank", wave="wave", cue="cue", order=["cue", "category"], cue_name=fn.default_name(F.col("cue")))
-    return named.select("cue", "bank", "wave", F.col("n_name").alias("bank_name"), "category", "name")
+    used = tracks.join(entries, ["cue", "track"])
+    named = first_writer_names(used, ["bank", "wave"], ["cue"], ["sound"], fn.default_name(F.col("cue")), F.col("cue") % 2 == 1, ["category"])
+    names = rel.lookup(table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS bank", "s_nationkey AS n_nationkey"), table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey")
+    return rel.lookup(named, names, "bank").select("cue", "bank", "wave", F.col("n_name").alias("bank_name"), "category", "name")

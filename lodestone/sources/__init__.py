@@ -7,6 +7,8 @@ Files of no bytes at all never show up: binaryFile passes over them.
 
 from __future__ import annotations
 
+import json
+import struct
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,6 +21,9 @@ from ..functions import extension, le_uint, stem
 from . import audio, images, tbin, xact, xnb
 from .cursor import AssetError
 
+#: Faults of a file: those that parsers name, and what else damaged bytes can raise in them.
+FAULTS = (AssetError, pa.ArrowInvalid, pa.ArrowTypeError, OverflowError, RecursionError, IndexError, KeyError, TypeError, ValueError, MemoryError, struct.error)
+
 #: Columns of a scan, and of every decoded row before its own.
 FILE = "path string, _error_code string, _error string"
 
@@ -47,6 +52,7 @@ def container_headers(found: DataFrame) -> DataFrame:
         .when(F.hex(F.substring("content", 1, 3)) != "584E42", "bad_magic")
         .when(~target.isin(*xnb.TARGETS), "bad_target")
         .when(le_uint("content", 6, 4) != F.length("content"), "size_mismatch")
+        .when(~le_uint("content", 4, 1).between(3, 5), "odd_version")  # a warning: such files are decoded
         .otherwise("ok")
     )
     return found.select("path", *[c.alias(n) for n, c in cols.items()], state.alias("state"))
@@ -67,7 +73,7 @@ def decode(found: DataFrame, parse: Callable[[bytes], dict], schema: str) -> Dat
                         raise AssetError("missing", "no content")
                     row |= parse(data)
                     yield pa.RecordBatch.from_pylist([row], schema=arrow)
-                except (AssetError, pa.ArrowInvalid, OverflowError, RecursionError) as e:
+                except FAULTS as e:
                     code = getattr(e, "code", "bad_value")
                     yield pa.RecordBatch.from_pylist([{"path": path.as_py(), "_error_code": code, "_error": str(e)}], schema=arrow)
 
@@ -154,6 +160,19 @@ def _wave(data, codec, channels, rate, align, bits):
     return pd.Series([one(*row) for row in zip(data, codec, channels, rate, align, bits)], dtype=object)
 
 
+def sound_pairs(rows: DataFrame) -> DataFrame:
+    """(path, json, wave) of decoded sound effects: loop and length as JSON, format and samples as a wave file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                root = json.loads(content)
+                wave = audio.riff(bytes.fromhex(root.pop("fmt")), bytes.fromhex(root.pop("data")))
+                yield pa.RecordBatch.from_pydict({"path": [path], "json": [json.dumps(root)], "wave": pa.array([wave], pa.binary())})
+
+    return rows.where("_error_code IS NULL AND extension = 'wav'").select("path", "content").mapInArrow(run, "path string, json string, wave binary")
+
+
 def wave_files(entries: DataFrame) -> DataFrame:
     """(bank_name, entry_idx, content) of wave files; content is null for codecs that have none."""
     return entries.select("bank_name", "entry_idx", _wave("data", "codec", "channels", "rate", "align", "bits").alias("content"))

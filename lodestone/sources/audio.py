@@ -45,6 +45,26 @@ def wave_file(data: bytes, codec: int, channels: int, rate: int, align: int, bit
     return bytes(Writer().raw(b"RIFF").write("I", len(body.data)).raw(body.data).data)
 
 
+FIELDS = ("format_tag", "channels", "rate", "byte_rate", "block_align", "bits")
+
+
+def format_bytes(fields: dict) -> bytes:
+    """The format of parse_wave()'s fields as a wave file and a sound effect hold it."""
+    return bytes(Writer().write("HHIIHH", *(fields[k] for k in FIELDS)).raw(fields["extra"] or b"").data)
+
+
+def format_fields(fmt: bytes) -> dict:
+    r = Reader(fmt)
+    return dict(zip(FIELDS, r.read("HHIIHH"))) | {"extra": fmt[16:]}
+
+
+def riff(fmt: bytes, data: bytes) -> bytes:
+    """A wave file of a format and its samples as they are."""
+    body = Writer().raw(b"WAVEfmt ").write("I", len(fmt)).raw(fmt).raw(b"\0" * (len(fmt) % 2))
+    body.raw(b"data").write("I", len(data)).raw(data).raw(b"\0" * (len(data) % 2))
+    return bytes(Writer().raw(b"RIFF").write("I", len(body.data)).raw(body.data).data)
+
+
 def parse_wave(data: bytes) -> dict:
     """The chunks of a wave file; unknown ones are passed over, pad bytes too."""
     r = Reader(data)

@@ -38,7 +38,7 @@ def lz4_decode(data: bytes, size: int) -> bytes:
             if len(out) + match > size:
                 raise AssetError("bad_lz4", f"more than {size} bytes")
             start = len(out) - back
-            run = bytes(out[start:])
+            run = bytes(out[start : start + match])
             out += (run * (match // back + 1))[:match]
     except IndexError:
         raise AssetError("truncated", "the LZ4 block ends inside a sequence") from None
@@ -243,7 +243,7 @@ class LzxDecoder:
                     back = self._distance(bits, slot)
                     if not 0 < back <= min(len(self.out), 1 << self.WINDOW_BITS) or len(self.out) + length > goal:
                         raise AssetError("bad_lzx", f"distance {back} or length {length} out of range")
-                    run = bytes(self.out[len(self.out) - back :][:length])
+                    run = bytes(self.out[len(self.out) - back : len(self.out) - back + length])
                     self.out += (run * (length // back + 1))[:length]
             self.left -= len(self.out) - before
             if self.left < 0:

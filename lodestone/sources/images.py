@@ -160,8 +160,10 @@ def png_decode(data: bytes) -> tuple[int, int, bytes]:
         part = data[at + 8 : at + 8 + size]
         at += 12 + size
         if kind == b"IHDR":
+            if len(part) != 13:
+                raise AssetError("bad_png", "a header of the wrong size")
             head = struct.unpack(">IIBBBBB", part)
-        elif kind == b"PLTE":
+        elif kind == b"PLTE" and len(part) % 3 == 0:
             palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
         elif kind == b"tRNS":
             clear = part
@@ -185,13 +187,13 @@ def png_decode(data: bytes) -> tuple[int, int, bytes]:
         mode, row = raw[start], bytearray(raw[start + 1 : start + 1 + width * n])
         if mode > 4:
             raise AssetError("bad_png", f"filter {mode}")
-        for i in range(len(row) if mode else 0):
+        if mode == 1:  # sums along each channel
+            row = np.cumsum(np.frombuffer(row, np.uint8).reshape(-1, n), axis=0, dtype=np.uint8).tobytes()
+        elif mode == 2:
+            row = (np.frombuffer(row, np.uint8) + np.frombuffer(above, np.uint8)).tobytes()
+        for i in range(len(row) if mode > 2 else 0):
             a, b = row[i - n] if i >= n else 0, above[i]
-            if mode == 1:
-                guess = a
-            elif mode == 2:
-                guess = b
-            elif mode == 3:
+            if mode == 3:
                 guess = (a + b) // 2
             else:
                 c = above[i - n] if i >= n else 0
@@ -204,6 +206,8 @@ def png_decode(data: bytes) -> tuple[int, int, bytes]:
         if palette is None:
             raise AssetError("bad_png", "no palette")
         alpha = np.frombuffer(clear.ljust(len(palette), b"\xff")[: len(palette)], np.uint8)
+        if px.max(initial=0) >= len(palette):
+            raise AssetError("bad_png", "a colour beyond the palette")
         px = np.concatenate([palette, alpha[:, None]], 1)[px[:, 0]]
     elif color in (0, 4):
         px = np.concatenate([px[:, :1].repeat(3, 1), px[:, 1:]], 1)

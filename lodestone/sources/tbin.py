@@ -89,6 +89,34 @@ def parse(data: bytes) -> dict:
     return found
 
 
+MOST_LAYERS = 100
+
+
+def strip_images(data: bytes) -> bytes:
+    """A packed map whose sheets' images are named without `.png`. What follows the sheets is copied, not parsed, but for its number of layers."""
+    r, w = Reader(data), Writer()
+    if r.take(6) != MAGIC:
+        raise AssetError("bad_magic", "not a tile map")
+    r.long_text()
+    r.long_text()
+    _properties(r)
+    sheets = _count(r)
+    w.raw(data[: r.at])
+    for _ in range(sheets):
+        start = r.at
+        r.long_text()
+        r.long_text()
+        w.raw(data[start : r.at]).long_text(r.long_text().replace(".png", ""))
+        start = r.at
+        r.take(32)
+        _properties(r)
+        w.raw(data[start : r.at])
+    layers = r.jump(r.at).read("i")
+    if not 0 <= layers <= MOST_LAYERS:
+        raise AssetError("bad_count", f"{layers} layers")
+    return bytes(w.raw(data[r.at :]).data)
+
+
 def _put_properties(w: Writer, items) -> None:
     w.write("i", len(items))
     for item in items:

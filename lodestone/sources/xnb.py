@@ -49,6 +49,8 @@ def type_of(text: str) -> tuple[str, tuple]:
         return "Array", (type_of(full[:-2]),)
     name = full.split("`")[0].rsplit(".", 1)[-1]
     short = name.removesuffix("Reader") or name
+    if len(args) < {"Dictionary": 2, "List": 1, "Array": 1, "Nullable": 1, "Reflective": 1}.get(short, 0):
+        raise AssetError("bad_type", f"{text} lacks its types")
     if short == "Reflective":
         return args[0]
     if short == "Tide" or short == "TBin":

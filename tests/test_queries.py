@@ -3,7 +3,7 @@
 import pytest
 from conftest import SF
 
-from lodestone.plans import kernels, registry  # noqa: F401
+from lodestone.plans import codec_queries, kernels, map_queries, registry  # noqa: F401
 
 
 def plain(value):
