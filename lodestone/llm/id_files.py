@@ -199,7 +199,7 @@ class WordEncoder:
     PUNCTUATION = re.compile(r"(?<=[a-z])(?=[,.!?;:|*#$%&\")])")
     FOLD = {c: c + 32 for c in range(65, 91)}
 
-    def __init__(self, tokenizer, dtype: str, room: int = 200_000):
+    def __init__(self, tokenizer, dtype: str, room: int = 500_000):
         self.tokenizer, self.dtype, self.room, self.known, self.before = tokenizer, dtype, room, {"": b""}, {}
         self.code = "H" if np.dtype(dtype).itemsize == 2 else "I"
         self.by_word = self.by_model = True
