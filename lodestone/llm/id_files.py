@@ -256,9 +256,9 @@ class WordEncoder:
             self.before, self.known = self.known, {"": b""}
             new = every.difference(self.known)
         if self.before:
-            found = new.intersection(self.before)
-            self.known.update((w, self.before[w]) for w in found)
-            new -= found
+            found = {w: self.before[w] for w in new if w in self.before}  # set.intersection would go through all of `before`
+            self.known.update(found)
+            new.difference_update(found)
         self.single(list(new))
         out = [b"".join(map(self.known.__getitem__, words)) for words in split]
         for w in new:
