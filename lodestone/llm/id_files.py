@@ -14,11 +14,10 @@ Frames are written by Spark as a binary column of Parquet, so that a lost task's
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from unicodedata import is_normalized
 
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Chunks, discard, map_arrow, materialize, slices, text_sizes
+from .common import Chunks, discard, map_arrow, materialize, slices, text_sizes, texts_of
 from .token_counts import load
 
 MAGIC = b"LHF1"
@@ -183,36 +182,46 @@ _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
+def byte_set(of: Iterable[int]) -> np.ndarray:
+    """For each byte, whether it is one of these."""
+    table = np.zeros(256, dtype=bool)
+    table[list(of)] = True
+    return table
+
+
 class WordEncoder:
     """Encodes whole texts by the library, each distinct word once until `room` words are known; then those of the last half are kept.
 
     Valid for tokenizers whose normalizer and pre-tokenizer never look across a space, ignore spaces, fold A-Z and
     end a run of letters at punctuation; `probe` checks that on strings where others differ, and if it fails
-    whole texts are encoded. Words end at spaces, at line feeds and between an ASCII letter and one of
+    whole texts are encoded. Words end at spaces, at line feeds and between a letter (small ASCII, or ß to ÿ) and one of
     PUNCTUATION (no apostrophe: contractions); other white space stays inside a word and is left to the library.
     Words of more than LONGEST characters aren't kept, and long texts are taken in parts that end at spaces, so memory has a bound of its own.
     """
 
     LONGEST = 48
     PART = 1 << 20
-    PROBE = ("a b", " a  b\nc ", "don't 's 12 3,4 !? é́ ́x <|endoftext|> y", "A\tB ÅÇ  z q", "THAT*** this,, (x) a.b,c!! ΑΣ Σ, İ, x<|endoftext|>", "re|x a|b |. 'd,'s it's, x'll", "ﬁ, Å, q%%% $$", "straße écoute ñandú þorn ÿ ŵ αβγ ω жук ÀÉÎ ǆ ǅ ª º µ 中文")
-    PUNCTUATION = re.compile(r"(?<=[a-z])(?=[,.!?;:|*#$%&\")])")
-    FOLD = {c: c + 32 for c in range(65, 91)}
+    PROBE = ("a b", " a  b\nc ", "don't 's 12 3,4 !? é́ ́x <|endoftext|> y", "A\tB ÅÇ  z q", "THAT*** this,, (x) a.b,c!! ΑΣ Σ, İ, x<|endoftext|>", "re|x a|b |. 'd,'s it's, x'll", "ﬁ, Å, q%%% $$", "é, ñ. ß!! ü***x ÿ|a ÷, Õ% ×.", "straße écoute ñandú þorn ÿ ŵ αβγ ω жук ÀÉÎ ǆ ǅ ª º µ 中文")
+    PUNCTUATION = byte_set(b",.!?;:|*#$%&\")")
+    SMALL = byte_set(range(97, 123))
+    #: Second bytes of the letters from U+00DF to U+00FF.
+    SMALL_LATIN = byte_set({*range(0x9F, 0xC0)} - {0xB7})
+    FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\n", b"abcdefghijklmnopqrstuvwxyz ")
 
     def __init__(self, tokenizer, dtype: str, room: int = 500_000):
-        self.tokenizer, self.dtype, self.room, self.known, self.before = tokenizer, dtype, room, {"": b""}, {}
+        self.tokenizer, self.dtype, self.room, self.known, self.before = tokenizer, dtype, room, {" ": b""}, {}
         self.code = "H" if np.dtype(dtype).itemsize == 2 else "I"
         self.by_word = self.by_model = True
         probe = list(self.PROBE)
         if self.encode(probe) != self.direct(probe):  # the model alone won't do
-            self.by_model, self.known = False, {"": b""}
+            self.by_model, self.known = False, {" ": b""}
             self.by_word = self.encode(probe) == self.direct(probe)
-        self.known = {"": b""}
+        self.known = {" ": b""}
 
-    def parts(self, text: str) -> Iterator[str]:
-        """The text cut at spaces into parts of about PART characters."""
+    def parts(self, text: bytes) -> Iterator[bytes]:
+        """The text cut at spaces into parts of about PART bytes, the cut before that length, if there is one."""
         at = 0
-        while (end := text.find(" ", at + self.PART)) != -1:
+        while len(text) - at > self.PART and ((end := text.rfind(b" ", at, at + self.PART + 1)) != -1 or (end := text.find(b" ", at + self.PART)) != -1):
             yield text[at:end]
             at = end + 1
         yield text[at:]
@@ -221,53 +230,88 @@ class WordEncoder:
         return [array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def single(self, words: list[str]) -> None:
-        """Learns words. Small letters in composed form are the model's input as they are, byte by byte; the rest goes through all steps."""
+        """Learns words, the space before one left out. Small letters in composed form are the model's input as they are, byte by byte; the rest goes through all steps."""
         other, tokenize, known, code = [], self.tokenizer.model.tokenize, self.known, self.code
-        for w in words:
-            if w.isalpha() and self.by_model:
+        for key in words:
+            w = key[1:] if key[0] == " " else key
+            if self.by_model and w.isalpha():
                 if w.isascii() and w.islower():
-                    known[w] = array(code, [t.id for t in tokenize(w)]).tobytes()
+                    known[key] = array(code, [t.id for t in tokenize(w)]).tobytes()
                     continue
                 if w == w.lower() and is_normalized("NFC", w):
-                    known[w] = array(code, [t.id for t in tokenize(w.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
+                    known[key] = array(code, [t.id for t in tokenize(w.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
                     continue
-            other.append(w)
+            other.append(key)
         for k in range(0, len(other), 5_000):
-            known.update(zip(other[k : k + 5_000], self.direct(other[k : k + 5_000]), strict=True))
+            known.update(zip(other[k : k + 5_000], self.direct([w.removeprefix(" ") for w in other[k : k + 5_000]]), strict=True))
+
+    def cut(self, texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts one after another, each with the space before it, if there is one (the first of a text always has one); and where each text's words begin."""
+        plain = np.array([b"<" not in t for t in texts], dtype=bool)  # special strings are told apart by case
+        raw = bytearray(b"".join(b" " + (t.translate(self.FOLD) if p else t.replace(b"\n", b" ")) for t, p in zip(texts, plain, strict=True)))
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+        at = np.frombuffer(raw, dtype=np.uint8)
+        lead = np.flatnonzero(at == 0xC3)
+        if len(lead):  # capitals of Latin-1 are folded, too, in texts of nothing else, letter by letter, as the library does it
+            narrow = plain & (np.maximum.reduceat(at, starts) <= 0xC3)
+            after = lead[narrow[np.searchsorted(starts, lead, "right") - 1]] + 1
+            at[after[(at[after] <= 0x9E) & (at[after] != 0x97)]] += 32
+        space = at == 32
+        marks = np.flatnonzero(self.PUNCTUATION[at])
+        before = at[marks - 1]  # a text begins with a space
+        marks = marks[self.SMALL[before] | (self.SMALL_LATIN[before] & (at[marks - 2] == 0xC3))]
+        if not plain.all():
+            marks = marks[plain[np.searchsorted(starts, marks, "right") - 1]]
+        space[marks] = True
+        cuts = np.flatnonzero(space)
+        offsets = np.append(cuts, len(raw)).astype(np.int32)
+        return pa.StringArray.from_buffers(len(cuts), pa.py_buffer(offsets), pa.py_buffer(raw)), np.searchsorted(cuts, starts)
 
     def words(self, text: str) -> list[str]:
-        text = text.replace("\n", " ")
-        if "<" not in text:  # special strings are told apart by case
-            try:
-                text.encode("latin-1")
-                text = text.lower()  # letter by letter, as the library does it
-            except UnicodeEncodeError:
-                text = text.translate(self.FOLD)
-            text = self.PUNCTUATION.sub(" ", text)
-        return text.split(" ")
+        return self.cut([text.encode()])[0].to_pylist()
+
+    def learned(self, words: list[str]) -> list[bytes]:
+        """Ids of each of these distinct words."""
+        out = [*map(self.known.get, words)]
+        missing = [i for i, x in enumerate(out) if x is None]
+        if 2 * (len(self.known) + len(missing)) > self.room:  # words in use move on, the others go at the next turn
+            self.before, self.known = self.known, {" ": b""} | {w: x for w, x in zip(words, out, strict=True) if x is not None}
+        elif self.before:
+            for i in missing:
+                out[i] = self.before.get(words[i])
+            self.known.update((words[i], out[i]) for i in missing if out[i] is not None)
+            missing = [i for i in missing if out[i] is None]
+        self.single([words[i] for i in missing])
+        for i in missing:
+            out[i] = self.known.pop(words[i]) if len(words[i]) > self.LONGEST else self.known[words[i]]
+        return out
+
+    def column(self, texts: list[bytes], end: bytes) -> pa.Array:
+        """Ids of each text, with `end` after them. Python sees each distinct word once; the rest is done on whole columns."""
+        if not texts:
+            return pa.array([], pa.binary())
+        words, first = self.cut(texts)
+        found = words.dictionary_encode()
+        book = self.learned(found.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ends = np.append(first[1:], len(words))
+        which = np.insert(found.indices.to_numpy(), ends, len(book))
+        made = pa.array([*book, end], pa.binary()).take(pa.array(which))
+        at = np.frombuffer(made.buffers()[1], dtype=np.int32, count=len(which) + 1, offset=4 * made.offset)
+        at = np.append(at[:1], at[ends + np.arange(1, len(texts) + 1)])
+        return pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(at), made.buffers()[2]])
+
+    def coded(self, texts: list[bytes], end: bytes = b"") -> pa.Array:
+        """Ids of each text, with `end` after them."""
+        if not self.by_word:
+            return pa.array([x + end for x in self.direct([t.decode() for t in texts])], pa.binary())
+        if all(len(t) <= self.PART for t in texts):
+            return self.column(texts, end)
+        return pa.array([b"".join(self.column([p], b"")[0].as_py() for p in self.parts(t)) + end for t in texts], pa.binary())
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if any(len(t) > self.PART for t in texts):
-            return [b"".join(self.encode([p])[0] for p in self.parts(t)) if len(t) > self.PART else self.encode([t])[0] for t in texts]
-        split = [self.words(t) for t in texts]
-        every = set().union(*split)
-        new = every.difference(self.known)
-        if 2 * (len(self.known) + len(new)) > self.room:  # words in use move on, the others go at the next turn
-            self.before, self.known = self.known, {"": b""}
-            new = every.difference(self.known)
-        if self.before:
-            found = {w: self.before[w] for w in new if w in self.before}  # set.intersection would go through all of `before`
-            self.known.update(found)
-            new.difference_update(found)
-        self.single(list(new))
-        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
-        for w in new:
-            if len(w) > self.LONGEST:
-                del self.known[w]
-        return out
+        return self.coded([t.encode() for t in texts]).to_pylist()
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        return self.encode(texts) if self.by_word else self.direct(texts)
+    __call__ = encode
 
 
 @lru_cache(maxsize=2)
@@ -285,16 +329,14 @@ def tokenize(docs: DataFrame, chunks: Chunks, tokenizer_path: str, end_id: int,
         names = ["chunk", "doc_id", "rel", "n", "ids"]
         for batch in batches:
             for part in slices(batch, text_sizes(batch.column(2)), SLICE_BYTES):
-                own, rels, counts, ids = part.column(0).to_pylist(), [], [], []
-                for c, found in zip(own, encode([x or "" for x in part.column(2).to_pylist()]), strict=True):
+                ids, rels = encode.coded(texts_of(part.column(2)), end), []
+                counts = [n // size for n in text_sizes(ids)]
+                for c, n in zip(part.column(0).to_pylist(), counts, strict=True):
                     if c != chunk:
                         chunk, rel = c, 0
-                    found += end
-                    ids.append(found)
-                    counts.append(len(found) // size)
                     rels.append(rel)
-                    rel += counts[-1]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rels, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names)
+                    rel += n
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rels, pa.int64()), pa.array(counts, pa.int64()), ids], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
     rows = rows.select(chunks.of(F.col("doc_id"), F.col("tie")).alias("chunk"), "doc_id", "text", "tie")
