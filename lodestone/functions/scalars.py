@@ -184,7 +184,12 @@ def human_size(size: Column) -> Column:
 
 
 def epoch_text(millis: Column) -> Column:
-    return F.date_format(F.timestamp_millis(millis), "yyyy/M/d H:m")
+    """Milliseconds since the epoch as year/month/day hour:minute of UTC, in any session time zone; a year from 0 on has four digits at least, and none a plus sign."""
+    in_day = F.pmod(millis, F.lit(86_400_000))
+    day = F.date_from_unix_date(F.call_function("div", millis - in_day, F.lit(86_400_000)).cast("int"))
+    year, minute = F.year(day), F.call_function("div", in_day, F.lit(60_000))
+    digits = F.when(year.between(0, 999), F.lpad(year.cast("string"), 4, "0")).otherwise(year.cast("string"))
+    return F.concat(digits, F.lit("/"), F.month(day), F.lit("/"), F.day(day), F.lit(" "), F.call_function("div", minute, F.lit(60)), F.lit(":"), minute % 60)
 
 
 def typed_token(token: Column) -> Column:
