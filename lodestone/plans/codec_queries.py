@@ -19,14 +19,23 @@ from .registry import query
 NS = "Microsoft.Xna.Framework.Content."
 
 
+def keys(spark, sf_dir: str, name: str, *cols) -> DataFrame:
+    """Columns of a table's rows to make files of, dealt out evenly: the table's own parts may be fewer than the cores."""
+    return table(spark, sf_dir, name).select(*cols).repartition(2 * spark.sparkContext.defaultParallelism)
+
+
 def packed(rows: DataFrame, make) -> DataFrame:
     """(path, content) of files that `make` builds of each row's columns, the first of which names the file."""
 
-    def run(batches):
+    def files(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = [c[i].as_py() for c in batch.columns]
-                yield pa.RecordBatch.from_pydict({"path": pa.array([str(row[0])]), "content": pa.array([make(*row)], pa.binary())})
+            for values in zip(*batch.columns):
+                row = [v.as_py() for v in values]
+                content = make(*row)
+                yield {"path": str(row[0]), "content": content}, len(content)
+
+    def run(batches):
+        return src.in_batches(files(batches), pa.schema({"path": pa.string(), "content": pa.binary()}))
 
     return rows.mapInArrow(run, "path string, content binary")
 
@@ -76,11 +85,15 @@ def map_bytes_stripped(spark, sf_dir):
     """Extensions taken out of the sheets of packed maps; layers are copied as bytes, never parsed."""
     maps = _maps(spark, sf_dir)
 
-    def run(batches):
+    def made(batches):
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                made = tbin.strip_images(content)
-                yield pa.RecordBatch.from_pydict({"path": pa.array([path]), "content": pa.array([made], pa.binary()), "same_tail": pa.array([made[-64:] == content[-64:]])})
+            for path, content in zip(batch.column(0), batch.column(1)):
+                old = content.as_py()
+                new = tbin.strip_images(old)
+                yield {"path": path.as_py(), "content": new, "same_tail": new[-64:] == old[-64:]}, len(new)
+
+    def run(batches):
+        return src.in_batches(made(batches), pa.schema({"path": pa.string(), "content": pa.binary(), "same_tail": pa.bool_()}))
 
     stripped = maps.mapInArrow(run, "path string, content binary, same_tail boolean")
     sheets = src.map_tables(src.read_tbin(stripped))["sheets"].select("path", "sheet_ord", "image")
@@ -96,7 +109,7 @@ def _texture(key, color) -> bytes:
 FROM (SELECT p_partkey, p_partkey * 2654435761 % 65536 AS c FROM part) p""")
 def texture_decode(spark, sf_dir):
     """Block-coded textures in containers, decoded to pixels."""
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr("p_partkey * 2654435761 % 65536").alias("color"))
+    rows = keys(spark, sf_dir, "part", "p_partkey", F.expr("p_partkey * 2654435761 % 65536").alias("color"))
     textures = src.read_xnb(packed(rows, _texture)).select("path", "texture.*")
 
     def run(batches):
@@ -118,7 +131,7 @@ def png_round_trip(spark, sf_dir):
         w, h = 1 + key % 9, 1 + key % 5
         return images.png_encode(bytes((key % 256, 7, 0, 255)) * (w * h), w, h)
 
-    found = src.read_png(packed(table(spark, sf_dir, "part").select("p_partkey"), make))
+    found = src.read_png(packed(keys(spark, sf_dir, "part", "p_partkey"), make))
     total = F.aggregate(F.sequence(F.lit(1), F.length("data")), F.lit(0).cast("long"), lambda s, i: s + F.conv(F.hex(F.substring("data", i, F.lit(1))), 16, 10).cast("long"))
     return found.select("path", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), total.alias("total"))
 
@@ -130,7 +143,7 @@ def wave_round_trip(spark, sf_dir):
     def make(key) -> bytes:
         return audio.wave_file(bytes(4 * (key % 30)), audio.PCM, 1 + key % 2, 8000 + key % 5 * 8000, 0, 1)
 
-    found = src.read_wav(packed(table(spark, sf_dir, "events").select("event_id"), make))
+    found = src.read_wav(packed(keys(spark, sf_dir, "events", "event_id"), make))
     return found.select("path", F.col("channels").cast("long").alias("channels"), "rate", "byte_rate", F.col("bits").cast("long").alias("bits"), F.length("data").cast("long").alias("n_bytes"))
 
 
@@ -155,7 +168,7 @@ def _sound(key, n) -> bytes:
 @query("sound_effects", "SELECT CAST(s_suppkey AS VARCHAR) AS path, CAST(s_suppkey % 7 AS INT) AS loop_start, CAST(s_suppkey % 40 AS INT) AS loop_length, CAST(1 + s_suppkey % 2 AS INT) AS channels, CAST(22050 AS BIGINT) AS rate, 2 * (s_suppkey % 40) AS n_bytes FROM supplier")
 def sound_effects(spark, sf_dir):
     """Sound effects in containers as pairs of JSON and wave file."""
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.expr("s_suppkey % 40").alias("n"))
+    rows = keys(spark, sf_dir, "supplier", "s_suppkey", F.expr("s_suppkey % 40").alias("n"))
     pairs = src.sound_pairs(src.read_xnb(packed(rows, _sound)))
     waves = src.read_wav(pairs.select("path", F.col("wave").alias("content"))).select("path", "channels", "rate", F.length("data").cast("long").alias("n_bytes"))
     json_side = pairs.select("path", F.from_json("json", "loop_start int, loop_length int, duration_ms int").alias("j")).select("path", "j.loop_start", "j.loop_length")
@@ -170,7 +183,7 @@ def container_states(spark, sf_dir):
         good = container(["EffectReader"], data=b"abc")
         return [b"ABC" + good[3:], good + b"x", good[:8], good[:4] + b"\x09" + good[5:], good][key % 5]
 
-    return src.container_headers(packed(table(spark, sf_dir, "supplier").select("s_suppkey"), make)).groupBy("state").agg(F.count("*").alias("n"))
+    return src.container_headers(packed(keys(spark, sf_dir, "supplier", "s_suppkey"), make)).groupBy("state").agg(F.count("*").alias("n"))
 
 
 @query("fixed_integers", "SELECT o_orderkey, o_orderkey * 97 AS unsigned, CAST(-(o_orderkey % 30000) AS BIGINT) AS signed, o_orderkey * 97 AS varint FROM orders WHERE o_orderkey * 97 < 4294967296")

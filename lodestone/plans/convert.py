@@ -91,9 +91,7 @@ def pack(spark: SparkSession, source: str, target: str, classes: dict | None = N
             row["content"] = json.dumps(json.loads(row["content"]) | {"fmt": audio.format_bytes(wave).hex(), "data": wave["data"].hex()})
         return xnb.build(row, classes, compress)
 
-    def run(batches):
-        import pyarrow as pa
-
+    def made(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 rel, head, given = (batch.column(c)[i].as_py() for c in ("rel", "head", "parts"))
@@ -102,8 +100,12 @@ def pack(spark: SparkSession, source: str, target: str, classes: dict | None = N
                     data = container(head, dict(given))
                 except src.FAULTS as e:
                     code, why = getattr(e, "code", "bad_value"), str(e)
-                columns = [pa.array([x], t) for x, t in ((rel + ".xnb", pa.string()), (data, pa.binary()), (code, pa.string()), (why, pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, ["rel_path", "content", "_error_code", "_error"])
+                yield {"rel_path": rel + ".xnb", "content": data, "_error_code": code, "_error": why}, len(data or b"")
+
+    def run(batches):
+        import pyarrow as pa
+
+        return src.in_batches(made(batches), pa.schema({"rel_path": pa.string(), "content": pa.binary(), "_error_code": pa.string(), "_error": pa.string()}))
 
     kept = f"{target.rstrip('/')}/_packed"
     heads.join(parts, "rel").mapInArrow(run, "rel_path string, content binary, _error_code string, _error string").write.mode("overwrite").parquet(kept)

@@ -1,7 +1,7 @@
 """Packed assets as DataFrames: scans of folders, decoded rows, normal tables, and file sinks.
 
 Scans go through Spark's binaryFile, so files are listed, filtered and split over tasks by Spark. One file decodes in one
-task; a malformed one becomes a row with _error_code and _error, never a failed job. A batch holds one file's rows.
+task; a malformed one becomes a row with _error_code and _error, never a failed job. A batch holds many small files, or one that is large.
 Files of no bytes at all never show up: binaryFile passes over them.
 """
 
@@ -27,6 +27,51 @@ FAULTS = (AssetError, pa.ArrowInvalid, pa.ArrowTypeError, OverflowError, Recursi
 #: Columns of a scan, and of every decoded row before its own.
 FILE = "path string, _error_code string, _error string"
 
+#: What a batch of rows made in Python holds at most: rows, and their bytes, which only a single larger row exceeds.
+BATCH_ROWS, BATCH_BYTES = 1_000, 256 << 10
+
+
+def in_batches(rows: Iterator[tuple[dict, int]], schema: pa.Schema, failed: Callable[[dict, Exception], dict] | None = None) -> Iterator[pa.RecordBatch]:
+    """Record batches of rows, each given with its bytes: a batch of its own for each small row costs far more than the row.
+
+    With `failed`, a row that the schema can't hold is replaced by what that makes of it; the others stay.
+    """
+
+    def made(part: list[dict]) -> Iterator[pa.RecordBatch]:
+        try:
+            batch = pa.RecordBatch.from_pylist(part, schema=schema)
+        except FAULTS as e:
+            if failed is None:
+                raise
+            if len(part) == 1:
+                yield pa.RecordBatch.from_pylist([failed(part[0], e)], schema=schema)
+            else:
+                yield from made(part[: len(part) // 2])
+                yield from made(part[len(part) // 2 :])
+        else:
+            yield batch
+
+    held, size = [], 0
+    for row, n in rows:
+        if held and (len(held) == BATCH_ROWS or size + n > BATCH_BYTES):
+            yield from made(held)
+            held, size = [], 0
+        held.append(row)
+        size += n
+    if held:
+        yield from made(held)
+
+
+def _bytes_in(row: dict) -> int:
+    """Bytes and characters of a row and of the structs in it; what lists hold is left out, as the file itself counts for that."""
+    n = 0
+    for v in row.values():
+        if isinstance(v, (bytes, str)):
+            n += len(v)
+        elif isinstance(v, dict):
+            n += _bytes_in(v)
+    return n
+
 
 def files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Files below a path (or one file) with their extension and stem; contents are read only if a plan uses them."""
@@ -62,20 +107,24 @@ def decode(found: DataFrame, parse: Callable[[bytes], dict], schema: str) -> Dat
     """One row per file: what `parse` makes of its content, or why it could not."""
     out = T.StructType.fromDDL(f"{FILE}, {schema}")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = to_arrow_schema(out)
+    def failed(row: dict, e: Exception) -> dict:
+        return {"path": row["path"], "_error_code": getattr(e, "code", "bad_value"), "_error": str(e)}
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, int]]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                row = {"path": path.as_py()}
+                row, data = {"path": path.as_py()}, None
                 try:
                     data = content.as_py()
                     if data is None:
                         raise AssetError("missing", "no content")
                     row |= parse(data)
-                    yield pa.RecordBatch.from_pylist([row], schema=arrow)
                 except FAULTS as e:
-                    code = getattr(e, "code", "bad_value")
-                    yield pa.RecordBatch.from_pylist([{"path": path.as_py(), "_error_code": code, "_error": str(e)}], schema=arrow)
+                    row = failed(row, e)
+                yield row, len(data or b"") + _bytes_in(row)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return in_batches(rows(batches), to_arrow_schema(out), failed)
 
     return found.select("path", "content").mapInArrow(run, out)
 
@@ -163,12 +212,16 @@ def _wave(data, codec, channels, rate, align, bits):
 def sound_pairs(rows: DataFrame) -> DataFrame:
     """(path, json, wave) of decoded sound effects: loop and length as JSON, format and samples as a wave file."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, int]]:
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                root = json.loads(content)
+            for path, content in zip(batch.column(0), batch.column(1)):
+                root = json.loads(content.as_py())
                 wave = audio.riff(bytes.fromhex(root.pop("fmt")), bytes.fromhex(root.pop("data")))
-                yield pa.RecordBatch.from_pydict({"path": [path], "json": [json.dumps(root)], "wave": pa.array([wave], pa.binary())})
+                row = {"path": path.as_py(), "json": json.dumps(root), "wave": wave}
+                yield row, _bytes_in(row)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return in_batches(made(batches), pa.schema({"path": pa.string(), "json": pa.string(), "wave": pa.binary()}))
 
     return rows.where("_error_code IS NULL AND extension = 'wav'").select("path", "content").mapInArrow(run, "path string, json string, wave binary")
 

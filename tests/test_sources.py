@@ -392,3 +392,51 @@ def test_watched_folder(spark, tmp_path):
         put(tmp_path, "in/b.xnb", DATA[:-1])
     rows = spark.read.parquet(str(tmp_path / "out")).select("_error_code").collect()
     assert sorted(str(r[0]) for r in rows) == ["None", "size_mismatch"]
+
+
+class Plan:
+    """Takes the place of a DataFrame, to see the batches that a step makes."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        self.run = run
+        return self
+
+
+def test_small_files_share_a_batch_and_large_ones_do_not(spark):
+    import pyarrow as pa
+
+    n, large = 3_000, bytes(300 << 10)
+    contents = [audio.wave_file(large if i in (7, 8) else b"", audio.PCM, 1, 8_000 + i, 0, 1) for i in range(n)]
+    contents[5], contents[6] = b"RIFX", None
+    found = pa.RecordBatch.from_pydict({"path": [str(i) for i in range(n)], "content": pa.array(contents, pa.binary())})
+    batches = list(src.read_wav(Plan()).run(iter([found])))
+    assert len(batches) < 10 and max(b.num_rows for b in batches) <= src.BATCH_ROWS
+    assert [b.num_rows for b in batches if b.nbytes > len(large)] == [1, 1]
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert [r["path"] for r in rows] == [str(i) for i in range(n)]
+    assert [(i, r["_error_code"]) for i, r in enumerate(rows) if r["_error_code"]] == [(5, "bad_magic"), (6, "missing")]
+    assert all(r["rate"] == 8_000 + i for i, r in enumerate(rows) if i not in (5, 6))
+
+
+def test_a_value_beyond_its_column_spoils_one_row_of_a_batch(spark):
+    import pyarrow as pa
+
+    found = pa.RecordBatch.from_pydict({"path": [str(i) for i in range(100)], "content": pa.array([i.to_bytes(8, "little") for i in [2**40 if i in (3, 60) else i for i in range(100)]], pa.binary())})
+    batches = list(src.decode(Plan(), lambda data: {"n": int.from_bytes(data, "little")}, "n int").run(iter([found])))
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert [r["path"] for r in rows] == [str(i) for i in range(100)] and len(batches) < 50
+    assert all((r["n"], r["_error_code"]) == ((None, "bad_value") if i in (3, 60) else (i, None)) for i, r in enumerate(rows))
+
+
+def test_built_files_share_a_batch():
+    import pyarrow as pa
+
+    from lodestone.plans import codec_queries
+
+    keys = pa.RecordBatch.from_pydict({"key": pa.array(range(2_500), pa.int64())})
+    batches = list(codec_queries.packed(Plan(), lambda key: bytes(key % 9)).run(iter([keys])))
+    assert len(batches) == 3
+    assert [r for b in batches for r in b.to_pylist()] == [{"path": str(i), "content": bytes(i % 9)} for i in range(2_500)]
