@@ -114,11 +114,12 @@ def texture_decode(spark, sf_dir):
 
     def run(batches):
         for batch in batches:
-            out = []
-            for path, kind, width, height, data in zip(*(batch.column(c).to_pylist() for c in ("path", "format", "width", "height", "data"))):
-                raster = images.dxt_decode(data, width, height, kind)
-                out.append((path, *raster[:3], sum(raster[3::4])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 0 else pa.int64()) for i, c in enumerate(zip(*out))] if out else [pa.array([], pa.string())] + [pa.array([], pa.int64())] * 4, ["path", "red", "green", "blue", "alphas"])
+            for at in range(0, batch.num_rows, src.BATCH_ROWS):
+                part = batch.slice(at, src.BATCH_ROWS)
+                given = list(zip(*(part.column(c).to_pylist() for c in ("data", "width", "height", "format"))))
+                rasters = images.dxt_decode_all(given)
+                columns = [[r[i] for r in rasters] for i in range(3)] + [[sum(r[3::4]) for r in rasters]]
+                yield pa.RecordBatch.from_arrays([part.column("path"), *(pa.array(c, pa.int64()) for c in columns)], ["path", "red", "green", "blue", "alphas"])
 
     return textures.mapInArrow(run, "path string, red long, green long, blue long, alphas long")
 

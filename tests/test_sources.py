@@ -440,3 +440,18 @@ def test_built_files_share_a_batch():
     batches = list(codec_queries.packed(Plan(), lambda key: bytes(key % 9)).run(iter([keys])))
     assert len(batches) == 3
     assert [r for b in batches for r in b.to_pylist()] == [{"path": str(i), "content": bytes(i % 9)} for i in range(2_500)]
+
+
+def test_small_textures_are_decoded_together(monkeypatch):
+    random = np.random.default_rng(3)
+    sizes = [(4, 4, images.DXT1)] * 500 + [(5, 7, images.DXT5)] * 300 + [(8, 2, images.DXT3)] * 200 + [(260, 260, images.DXT1)] * 2 + [(4, 4, images.DXT1)]
+    textures = [(random.bytes(-(-w // 4) * -(-h // 4) * (8 if k == images.DXT1 else 16) + i % 3), w, h, k) for i, (w, h, k) in enumerate(sizes)]
+    single, calls = images.dxt_decode, []
+    want = [single(*t) for t in textures]
+    monkeypatch.setattr(images, "dxt_decode", lambda *t: calls.append(t) or single(*t))
+    assert images.dxt_decode_all(textures) == want and len(calls) < 12
+    assert images.dxt_decode_all([]) == []
+    for bad, code in (((b"\0" * 7, 4, 4, images.DXT1), "truncated"), ((b"\0" * 16, 4, 4, 99), "bad_format")):
+        with pytest.raises(AssetError) as e:
+            images.dxt_decode_all([textures[0], bad, bad, textures[0]])
+        assert e.value.code == code
